@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,26 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def press(rows: DataFrame) -> DataFrame:
+    """Of ``rows(key, text)``: ``key, z``, the texts as compressed UTF-8 for their way through shuffles."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)], pa.binary())], ["key", "z"])
+
+    return rows.select("key", "text").mapInArrow(scan, f"key {rows.schema['key'].dataType.simpleString()}, z binary")
+
+
+def unpress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inside a task: batches with the texts of column 1 open again, as bytes."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            b = batch.slice(i, 1024)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([open_(z.as_py()) for z in b.column(1)], pa.large_binary()), *b.columns[2:]], names=b.schema.names)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()

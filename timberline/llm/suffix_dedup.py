@@ -3,14 +3,14 @@
 A byte goes if a string of ``WIDTH`` (100) bytes that covers it also starts earlier: in a document of
 smaller id, or earlier in its own.  A string's start is a suffix; suffixes fall in buckets.
 
-* Initial buckets: every offset's q-gram (``Q`` = 20 bytes) has an identifier.
-* Refinement: the bucket of 40 bytes is the pair of identifiers at offsets 0 and 20, the one of 80
-  bytes the pair of those at 0 and 40, that of 100 bytes the pair at 0 and 80; each round reuses the
-  identifiers of the round before.  Identifiers are 64-bit hashes of the pairs rather than ranks,
+* Initial buckets: every offset's q-gram (``Q`` = 40 bytes) has an identifier.
+* Refinement: the bucket of 80 bytes is the pair of identifiers at offsets 0 and 40, that of 100
+  bytes the pair of the one of 80 at 0 and the one of 40 at 60; each round reuses the identifiers of
+  the rounds before.  Identifiers are 64-bit hashes of the pairs rather than ranks,
   so that tasks agree on them without sorting all suffixes together.
 * Sampling: each 100-byte window names one of its q-grams, its anchor (the smallest by a fixed hash,
   leftmost of equals), so equal windows name equal anchors at equal offsets.  Windows in sequence
-  with the same anchor are one segment, some forty bytes apart, and only segments are sorted.
+  with the same anchor are one segment, some thirty bytes apart, and only segments are sorted.
 
 Segments are grouped by anchor bucket.  One whose refined bucket (its first and last window) is that
 of an earlier segment is repeated as a whole.  The first of each refined bucket is left; where an
@@ -30,13 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import press, settle, unpress
+
 WIDTH = 100
-Q = 20
+Q = 40
 #: Bytes of text that a task looks at together; a longer document is looked at alone.
 STRETCH = 4 << 20
 LOWEST = -(1 << 63)
@@ -93,11 +94,10 @@ class Stretch:
         up, down = powers.get(n + 1)
         s = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTES[raw] * up[:n], out=s[1:])
-        b20 = _mix((s[Q:] - s[:-Q]) * down[: n - Q + 1])
-        b40 = _pair(b20[:-Q], b20[Q:])
-        b80 = _pair(b40[: -2 * Q], b40[2 * Q :])
-        self.grams = b20
-        self.windows = _pair(b80[: n - WIDTH + 1], b20[4 * Q : 4 * Q + n - WIDTH + 1])
+        once = _mix((s[Q:] - s[:-Q]) * down[: n - Q + 1])
+        twice = _pair(once[:-Q], once[Q:])
+        self.grams = once
+        self.windows = _pair(twice[: n - WIDTH + 1], once[WIDTH - Q :])
 
     def window_starts(self) -> np.ndarray:
         return _ranges(self.starts, np.maximum(0, self.sizes - WIDTH + 1))
@@ -156,25 +156,6 @@ def _earlier_here(bucket: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.nd
     return out
 
 
-def _press(docs: DataFrame) -> DataFrame:
-    """Texts as compressed UTF-8, for their way through shuffles."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)], pa.binary())], ["key", "z"])
-
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), "text").mapInArrow(scan, "key long, z binary")
-
-
-def _unpress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    open_ = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for i in range(0, batch.num_rows, 1024):
-            b = batch.slice(i, 1024)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([open_(z.as_py()) for z in b.column(1)], pa.large_binary()), *b.columns[2:]], names=b.schema.names)
-
-
 def repeated_segments(docs: DataFrame) -> DataFrame:
     """``doc, ranges``: per document the segments that are repeated, or not settled yet; packed as ``first window << 8 | windows less one << 1 | open``."""
 
@@ -213,7 +194,7 @@ def repeated_windows(pressed: DataFrame, ranges: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
-        for docs_, texts, extra in _stretches(_unpress(batches)):
+        for docs_, texts, extra in _stretches(unpress(batches)):
             s = Stretch(texts, powers)
             if s.short:
                 continue
@@ -262,15 +243,13 @@ def removed_spans(size: int, ranges: np.ndarray, windows: np.ndarray) -> list[tu
 def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` for every row of ``docs(doc_id, text)``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    from .common import settle
-
     ranges = settle(repeated_segments(docs), "ranges")
-    pressed = _press(docs)
+    pressed = press(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), "text"))
     windows = repeated_windows(pressed, ranges)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
-        for batch in _unpress(batches):
+        for batch in unpress(batches):
             out: list[tuple] = []
             for key, text, r, w in zip(*batch.columns, strict=True):
                 t = text.as_py()
