@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle
+from .common import components, press, settle, unpress
 
 WIDTH = 3
 NUM, DEN = 90, 100
@@ -62,9 +62,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(text: str | None, words: _WordHash, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text; fewer words than ``width`` are one shingle."""
-    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def shingle_set(text: str | bytes | None, words: _WordHash, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text (or its UTF-8); fewer words than ``width`` are one shingle."""
+    w = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower().split()
     if not w:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(words.__getitem__, w), np.uint64, len(w))
@@ -192,6 +192,31 @@ def _alike(a: str, b: str, num: int, den: int):
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def plausible(pairs: DataFrame, vertices: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` that their ordered prefixes allow.
+
+    Sets that share ``need`` shingles share ``l`` among their first ``n - need + l``, for every l; the
+    stored prefixes are longer than two shingles ask for, so they are held to the largest l they allow.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                need = -(-num * (na + nb) // (num + den))
+                p, q = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+                least = min(len(p) - na, len(q) - nb) + need
+                if min(na, nb) * den < max(na, nb) * num:
+                    keep.append(False)
+                else:
+                    keep.append(least <= 0 or len(np.intersect1d(p[: na - need + least], q[: nb - need + least], assume_unique=True)) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    v = vertices.select("v", "n", "prefix")
+    x = pairs.join(v.toDF("a", "na", "pa"), "a").join(v.toDF("b", "nb", "pb"), "b").where(_alike("na", "nb", num, den))
+    return x.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(scan, "a long, b long")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs ``a, b`` of vertices that link.  ``ids(v, doc_id)`` names a document of each vertex; sets are made again for those only."""
     wanted = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
@@ -199,7 +224,7 @@ def verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, num: i
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordHash()
-        for batch in batches:
+        for batch in unpress(batches):
             vs, ss = [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), words, width)
@@ -208,8 +233,9 @@ def verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, num: i
             made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(vs, pa.int64()), pa.array(ss, pa.binary())], ["v", "got", "s"])
             yield made
 
-    texts = docs.select("doc_id", "text").join(named, docs["doc_id"].eqNullSafe(named["doc_id"])).select("v", "text")
-    sets = texts.mapInArrow(scan, "v long, got long, s binary").where("v = got").select("v", "s").dropDuplicates(["v"])
+    texts = press(docs.select(F.col("doc_id").alias("key"), "text"))
+    texts = texts.join(named, F.col("key").eqNullSafe(F.col("doc_id"))).select("v", "z")
+    sets = texts.mapInArrow(scan, "v long, got long, s binary").where("v = got").select("v", "s")
     sets = settle(sets, "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,11 +259,11 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     keys = keys_of(vertices, choose_boundary(vertices, num, den), num, den)
     shared = keys.groupBy("key").agg(F.min("v").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader")
     lists = settle(keys.join(shared, "key"), "lists")
-    sizes = vertices.select("v", "n")
+    sizes = vertices.select(F.col("v").alias("a"), F.col("n").alias("na"))
 
     star = lists.where("v <> leader").select(F.col("leader").alias("a"), F.col("v").alias("b"), F.col("n").alias("nb")).distinct()
-    star = star.join(sizes.select(F.col("v").alias("a"), F.col("n").alias("na")), "a").where(_alike("na", "nb", num, den)).select("a", "b")
-    star = settle(star, "star")
+    star = star.join(sizes, "a").where(_alike("na", "nb", num, den)).select("a", "b")
+    star = settle(plausible(star, vertices, num, den), "star")
     ids = vertices.select("v", "doc_id")
     links = settle(verify(star, docs, ids, width, num, den), "links")
     label = settle(components(links), "labels")
@@ -250,7 +276,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     b = open_.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     rest = a.join(b, "key").where("ca < cb").where(_alike("na", "nb", num, den))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = settle(rest, "rest")
+    rest = settle(plausible(rest, vertices, num, den), "rest")
     if not rest.isEmpty():
         more = verify(rest, docs, ids, width, num, den)
         label = settle(components(links.union(more)), "labels")
