@@ -12,8 +12,9 @@ a shingle among their first ``n - ceil(n * num/den) + 1``, and two among one mor
 The boundary between the two is the size at which enumerating costs as much as scanning, computed
 from the lists' mean length over the corpus.  Sets just below the boundary enter the lists as well.
 
-Scanning never emits all pairs of a list.  First each member is compared with the list's leader (its
-smallest vertex), a number of comparisons linear in the lists; the links found give components.
+Scanning does not begin with all pairs of a list.  First each member is compared with the list's
+leader, the most central vertex (the one with most shared keys), then with the most central one outside that
+leader's component; a number of comparisons linear in the lists.  The links found give components.
 Only for lists whose members are still in different components are the members of different
 components compared with each other; members of one component need no comparison.  So every link
 between components is found, exactly, while a large group of copies costs one comparison a member.
@@ -39,9 +40,11 @@ from .common import components, press, settle, unpress
 WIDTH = 3
 NUM, DEN = 90, 100
 #: Shingles that are ordered last; bounds the broadcast to 16 bytes each.
-COMMON = 1 << 17
+COMMON = 1 << 18
 #: A shingle is reported by a task if it is in as many of its documents.
-REPORT = 4
+REPORT = 2
+#: Comparisons of every list with a leader before components are compared with each other.
+ROUNDS = 2
 _CHUNK_WORDS = 1 << 20
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -256,17 +259,36 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     sets = settle(build_sets(docs, common_shingles(docs, width), width, num, den), "sets")
     some = sets.where("n > 0")
     vertices = settle(some.groupBy("v").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m")).select("v", "m.doc_id", "m.n", "m.prefix"), "vertices")
+    ids = vertices.select("v", "doc_id")
     keys = keys_of(vertices, choose_boundary(vertices, num, den), num, den)
-    shared = keys.groupBy("key").agg(F.min("v").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     lists = settle(keys.join(shared, "key"), "lists")
-    sizes = vertices.select(F.col("v").alias("a"), F.col("n").alias("na"))
-
-    star = lists.where("v <> leader").select(F.col("leader").alias("a"), F.col("v").alias("b"), F.col("n").alias("nb")).distinct()
-    star = star.join(sizes, "a").where(_alike("na", "nb", num, den)).select("a", "b")
-    star = settle(plausible(star, vertices, num, den), "star")
-    ids = vertices.select("v", "doc_id")
-    links = settle(verify(star, docs, ids, width, num, den), "links")
-    label = settle(components(links), "labels")
+    # central vertices lead: an original has few shingles of its own, an edited copy has some
+    score = lists.groupBy("v").agg(F.count("*").alias("score"))
+    label, links, tried = None, None, None
+    for _ in range(ROUNDS):
+        placed = lists.join(score, "v")
+        if label is None:
+            placed = placed.withColumn("c", F.col("v"))
+        else:
+            placed = placed.join(label.withColumnRenamed("id", "v"), "v", "left").withColumn("c", F.coalesce("label", "v")).drop("label")
+        placed = settle(placed.select("key", "v", "n", "score", "c"), "placed")
+        split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("score", "v", "n", "c")).alias("top")).where("lo <> hi")
+        if tried is not None:
+            # a list that has had its leader is led by the most central vertex outside its component
+            led = split.select("key", F.col("top.c").alias("c0"))
+            others = placed.join(led, "key").where("c <> c0").groupBy("key").agg(F.max(F.struct("score", "v", "n", "c")).alias("top"))
+            split = others
+        leaders = split.select("key", F.col("top.v").alias("a"), F.col("top.n").alias("na"), F.col("top.c").alias("ca"))
+        star = placed.join(leaders, "key").where((F.col("c") != F.col("ca")) & _alike("na", "n", num, den))
+        star = star.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
+        if tried is not None:
+            star = star.join(tried, ["a", "b"], "left_anti")
+        star = settle(plausible(star, vertices, num, den), "star")
+        found = settle(verify(star, docs, ids, width, num, den), "links")
+        links = found if links is None else links.union(found)
+        tried = star if tried is None else tried.union(star)
+        label = settle(components(links), "labels")
 
     placed = lists.join(label.withColumnRenamed("id", "v"), "v", "left").select("key", "v", "n", F.coalesce("label", "v").alias("c"))
     placed = settle(placed, "placed")
@@ -275,7 +297,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     a = open_.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     b = open_.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     rest = a.join(b, "key").where("ca < cb").where(_alike("na", "nb", num, den))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = settle(plausible(rest, vertices, num, den), "rest")
     if not rest.isEmpty():
         more = verify(rest, docs, ids, width, num, den)
