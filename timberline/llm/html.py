@@ -4,9 +4,10 @@ Each page is parsed into blocks of text, each with the kind of the container it
 (article, main), ``aside`` (menus, headers, footers, side bars, notices, adverts, forms, comments)
 or ``open``.  Within a host the token streams of all blocks outside an article are concatenated
 page by page and a suffix array over them finds the runs of ``RUN`` tokens that occur on distinct
-pages.  The arrays are built for chunks of a host's pages and yield one row for each run with the
-first and last page that has it; the rows of a run, from whatever chunk, meet in an aggregate, so a
-host is never gathered in one task and a run is found wherever its pages lie.  Blocks that such runs
+pages.  The arrays are built where the pages are read, one for each host and chunk of ``CHUNK``
+pages, and yield one row for each run with the first and last page that has it; the rows of a run,
+from whatever chunk, meet in an aggregate, so no text is shuffled for them, a host is never gathered
+in one task and a run is found wherever its pages lie.  Blocks that such runs
 cover for the most part are boilerplate and go, the others are unique runs and stay, except that the
 markup also speaks: an article's blocks always stay (articles do share passages), ``aside`` blocks
 always go, and on a page with an article the ``open`` blocks go as well.  So on pages without an
@@ -26,7 +27,6 @@ from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 RUN = 6
 COVERED = 0.5
-#: Pages of a host in one suffix array, about.
-CHUNK = 512
+#: Pages that a task looks at together: those of one host among them make one suffix array.
+CHUNK = 2048
 
 _TAG = regex.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", regex.S)
 _ATTR = regex.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
@@ -193,21 +193,23 @@ def parse(pages: DataFrame) -> DataFrame:
 
 def host_runs(parsed: DataFrame, run: int = RUN, chunk: int = CHUNK) -> DataFrame:
     """``host, h`` of each run that occurs on distinct pages of a host, outside articles."""
-    kind = parsed.schema["page_id"].dataType
+    kind = parsed.schema["page_id"].dataType.simpleString()
     loose = F.filter("blocks", lambda b: b["kind"] != "main")
-    x = parsed.select("host", "page_id", F.transform(loose, lambda b: b["text"]).alias("texts")).where(F.size("texts") > 0)
-    n = x.groupBy("host").agg(F.count("*").alias("n"))
-    # pages of a host are dealt over as many chunks as its size asks for
-    spread = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)).cast("int")
-    x = x.join(n, "host").withColumn("chunk", F.pmod(F.xxhash64("page_id"), spread))
-
-    def array(pdf: pd.DataFrame) -> pd.DataFrame:
-        pages = [(p, t) for p, texts in zip(pdf["page_id"], pdf["texts"], strict=True) for text in texts for t in [_tokens(text, run)]]
-        rows = long_runs(pages, run)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]] * len(rows), "h": pd.Series([r[0] for r in rows], dtype="int64"), "lo": pd.Series([min(r[1], r[2]) for r in rows], dtype=pdf["page_id"].dtype), "hi": pd.Series([max(r[1], r[2]) for r in rows], dtype=pdf["page_id"].dtype)})
-
-    x = x.where(F.col("page_id").isNotNull())
-    runs = x.select("host", "chunk", "page_id", "texts").groupBy("host", "chunk").applyInPandas(array, f"host string, h long, lo {kind.simpleString()}, hi {kind.simpleString()}")
+    x = parsed.where(F.col("page_id").isNotNull()).select("host", "page_id", F.transform(loose, lambda b: b["text"]).alias("texts")).where(F.size("texts") > 0)
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, chunk):
+                batch = whole.slice(at, chunk)
+                by_host: dict[str, list] = {}
+                for host, page, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    by_host.setdefault(host, []).extend((page, _tokens(t, run)) for t in texts)
+                rows = [(host, h, min(p, q), max(p, q)) for host, streams in by_host.items() for h, p, q in long_runs(streams, run)]
+                cols = zip(*rows, strict=True) if rows else [[]] * 4
+                kinds = (pa.string(), pa.int64(), batch.schema.field(1).type, batch.schema.field(1).type)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "h", "lo", "hi"])
+
+    runs = x.mapInArrow(arrays, f"host string, h long, lo {kind}, hi {kind}")
     return runs.groupBy("host", "h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("host", "h")
 
 
