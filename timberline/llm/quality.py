@@ -4,8 +4,8 @@ Heuristic labellers look at a whole text and vote good (1), bad (-1) or nothing
 maximisation over the counts of vote patterns (all documents; at most 3 ** labellers patterns)
 estimates, for either class, how often each labeller casts which vote, and the share of bad
 documents; so each pattern has a posterior of being good.  A logistic scorer over hashed features is
-then fitted to the posteriors of up to ``TRAIN_DOCS`` documents (those with the smallest hash of
-their id; a documented bound of the fit) and scores every document.
+then fitted to the posteriors of up to ``TRAIN_DOCS`` documents (chosen by hashes of
+their ids; a documented bound of the fit) and scores every document.
 
 Defined results: a null or empty text has score 0 and is not kept; equal texts have equal scores;
 an empty table gives an empty result; extra columns are ignored.
@@ -181,7 +181,10 @@ class Scorer:
 def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> tuple[LabelModel, Scorer]:
     model = LabelModel(pattern_counts(docs))
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.where("length(text) > 0").select(h.alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("t")).orderBy("h").limit(sample).collect()
+    some = docs.where("length(text) > 0")
+    # about as many as wanted by a hash of the id first, so that no task sends more than its share
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, some.count()))) < int(1.2 * sample)
+    rows = some.where(share).select(h.alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("t")).orderBy("h").limit(sample).collect()
     texts = [r["t"] for r in rows]
     return model, Scorer().fit(texts, model.posterior([votes(t) for t in texts]))
 
