@@ -23,6 +23,7 @@ container; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from html import unescape
 
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,9 +179,19 @@ def _tokens(text: str, run: int) -> list[str]:
     return t + ["\x02"] * max(0, run - len(t))  # a short block is one run with its end marks
 
 
-def parse(pages: DataFrame) -> DataFrame:
+def parse(pages: DataFrame, packed: bool = False) -> DataFrame:
+    """Pages with their blocks; ``packed``: with the blocks compressed, as ``z``, for their way through a shuffle."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            z = [squeeze(json.dumps(blocks(h.as_py()), ensure_ascii=False).encode("utf-8", "surrogatepass")) for h in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["page_id", "url", "z"])
+
+    if packed:
+        return pages.select("page_id", "url", "html").mapInArrow(pack, f"page_id {kind}, url string, z binary")
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
         for batch in batches:
@@ -235,11 +247,18 @@ def extract(pages: DataFrame, run: int = RUN, covered: float = COVERED, chunk: i
     hits = at.join(repeated, ["host", "h"]).groupBy("row", "i").agg(F.array_sort(F.collect_set("j")).alias("js"), F.max("n").alias("n"))
     union = F.aggregate("js", F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), lambda acc, j: F.struct((j + run).alias("end"), (acc["sum"] + (j + run) - F.greatest(acc["end"], j)).alias("sum")), lambda acc: acc["sum"])
     gone = hits.where(union >= F.col("n") * covered).groupBy("row").agg(F.collect_set("i").alias("gone"))
-    has_main = F.exists("blocks", lambda b: b["kind"] == "main")
 
-    def stays(b, i):
-        return (b["kind"] == "main") | ((b["kind"] == "open") & ~has_main & ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            texts = []
+            for z, lost in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+                every, lost = json.loads(open_(z.as_py())), set(lost or ())
+                has_main = any(k == "main" for k, _ in every)
+                texts.append("\n\n".join(t for i, (k, t) in enumerate(every) if k == "main" or (k == "open" and not has_main and i not in lost)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    kept = parsed.join(gone, "row", "left").withColumn("kept", F.filter("blocks", stays))
-    text = F.array_join(F.transform("kept", lambda b: b["text"]), "\n\n")
-    return kept.select(F.col("page_id").cast(kind).alias("page_id"), "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    # the same scan in the same order gives the same row numbers as ``parsed``
+    whole = parse(pages, packed=True).withColumn("row", F.monotonically_increasing_id())
+    kept = whole.join(gone, "row", "left").select("page_id", "url", "z", "gone").mapInArrow(keep, f"page_id {kind}, url string, text string")
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
