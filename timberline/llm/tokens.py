@@ -24,6 +24,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ _SLOTS = 1 << 18
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _U16, _U48, _UBITS = np.uint64(16), np.uint64(48), np.uint64(_BITS)
 _REBUILD = 4
+#: The confidence after a miss, a hit, by the one before (0 to 3).
+_SURER = np.array([0, 1, 0, 2, 1, 3, 2, 3], np.int64)
 
 
 class Mixture:
@@ -92,13 +95,14 @@ class Mixture:
 
     def update(self, x: np.ndarray) -> None:
         hit2, hit1 = self.q2 == x, self.q1 == x
-        self.seen += np.bincount(self.context, minlength=32)
-        self.hits2 += np.bincount(self.context[hit2], minlength=32)
-        self.hits1 += np.bincount(self.context[hit1 & ~hit2], minlength=32)
+        seen = np.bincount(self.context * 4 + hit2 * 2 + hit1, minlength=128).reshape(32, 4)
+        self.seen += seen.sum(1)
+        self.hits2 += seen[:, 2] + seen[:, 3]
+        self.hits1 += seen[:, 1]
         self.next2[self.slot] = np.where(hit2 | (self.k2 > 0), self.q2, x)
-        self.sure2[self.slot] = np.where(hit2, np.minimum(self.k2 + 1, 3), np.maximum(self.k2 - 1, 0))
+        self.sure2[self.slot] = _SURER[self.k2 * 2 + hit2]
         self.next1[self.a] = np.where(hit1 | (self.k1 > 0), self.q1, x)
-        self.sure1[self.a] = np.where(hit1, np.minimum(self.k1 + 1, 3), np.maximum(self.k1 - 1, 0))
+        self.sure1[self.a] = _SURER[self.k1 * 2 + hit1]
         self.waiting.append(x)
         if len(self.waiting) == _REBUILD:
             self.rebuild()
@@ -169,17 +173,20 @@ def decode_block(data: bytes | memoryview, offset: int = 0, size: int = VOCABULA
         unit = span >> _UBITS
         v = np.minimum(((code - low) // unit).astype(np.int64), last)
         swap = q1 > q2
-        p, q = np.where(swap, q2, q1), np.where(swap, q1, q2)
-        mp, mq = np.where(swap, m2, m1) * _SCALE, np.where(swap, m1, m2) * _SCALE
+        p, q = np.minimum(q1, q2), np.maximum(q1, q2)
         same = p == q
-        mp, mq = np.where(same, mp + mq, mp), np.where(same, 0, mq)
+        mp = np.where(swap, m2, m1)
+        mq = (m1 + m2 - mp) * _SCALE
+        mp = mp * _SCALE + same * mq
+        mq *= ~same
         past_p = v >= m0 * cum[p + 1] + mp
         on_p = ~past_p & (v >= m0 * cum[p])
-        v2 = v - np.where(past_p, mp, 0)
+        v2 = v - past_p * mp
         past_q = past_p & (v2 >= m0 * cum[q + 1] + mq)
         on_q = past_p & ~past_q & (v2 >= m0 * cum[q])
-        v3 = v2 - np.where(past_q, mq, 0)
-        x = model.symbol(np.minimum(v3 // m0, _SCALE - 1))
+        v3 = v2 - past_q * mq
+        # exact: a quotient of integers this small is never rounded up to the next one
+        x = model.symbol(np.minimum((v3 / m0).astype(np.int64), _SCALE - 1))
         x = np.where(on_p, p, np.where(on_q, q, x))
         below = m0 * cum[x] + ((q1 < x) * m1 + (q2 < x) * m2) * _SCALE
         wide = m0 * model.freq[x] + ((q1 == x) * m1 + (q2 == x) * m2) * _SCALE
@@ -248,14 +255,17 @@ class WordIds(dict):
     """
 
     LIMIT = 400_000
-    PLAIN = re.compile(r"[\x21-\x7e\xa1-ɏ]{1,100}")
+    PLAIN = re.compile(r"[\x21-\x7e\xa1-ſ]{1,100}")
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: ``PIECES`` for lowered plain words, with the letters and numbers of their range spelled out.
+    LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼½¾]|[^\sA-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼½¾]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
         self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
         parts = json.loads(self.whole.to_str())
         kinds = [x["type"] for x in parts["normalizer"].get("normalizers", [])], [x["type"] for x in parts["pre_tokenizer"].get("pretokenizers", [])]
         patterns = [x["pattern"].get("Regex") for x in parts["pre_tokenizer"].get("pretokenizers", []) if "pattern" in x]
@@ -270,13 +280,16 @@ class WordIds(dict):
         if got is None:
             if len(self.pieces) >= self.LIMIT:
                 self.pieces.clear()
-            got = self.pieces[p] = struct.pack(f"<{len(t := self.whole.model.tokenize(p.encode().decode('latin-1').translate(self.letters)))}I", *[x.id for x in t])
+            shown = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+            got = self.pieces[p] = struct.pack(f"<{len(t := self.model.tokenize(shown))}I", *[x.id for x in t])
         return got
 
     def __missing__(self, word: str) -> bytes:
-        if self.direct and self.PLAIN.fullmatch(word) and "<|" not in word:
+        if self.direct and word.isascii() and word.isalpha() and len(word) <= 100:
+            got = self.piece(word.lower())
+        elif self.direct and self.PLAIN.fullmatch(word) and "<|" not in word:
             w = word.lower()
-            got = self.piece(w) if w.isalpha() else b"".join(map(self.piece, self.PIECES.findall(w)))
+            got = self.piece(w) if w.isalpha() else b"".join(map(self.piece, self.LATIN.findall(w)))
         else:
             ids = self.whole.encode(word, add_special_tokens=False).ids
             got = struct.pack(f"<{len(ids)}I", *ids)
@@ -290,6 +303,12 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
+@lru_cache(1)
+def _words(path: str) -> WordIds:
+    """One memory for each worker process, kept from task to task."""
+    return WordIds(path)
+
+
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
     """Encode ``docs(doc_id, text)`` and write the files, named so that their order is that of doc_id.
 
@@ -309,7 +328,6 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
         store, base = pa.fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()
-        words: WordIds | None = None
         names: list[str] = []
         held: list = [[], [], [], 0]
 
@@ -326,7 +344,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
             held[:] = [[], [], [], 0]
 
         for batch in batches:
-            words = words or WordIds(tokenizer)
+            words = _words(tokenizer)
             for d, t in zip(batch.column(0), batch.column(1), strict=True):
                 ids = words.ids(t.as_py()) + end
                 held[0].append(d.as_py())
