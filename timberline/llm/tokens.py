@@ -50,8 +50,6 @@ _SLOTS = 1 << 18
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _U16, _U48, _UBITS = np.uint64(16), np.uint64(48), np.uint64(_BITS)
 _REBUILD = 4
-#: The confidence after a miss, a hit, by the one before (0 to 3).
-_SURER = np.array([0, 1, 0, 2, 1, 3, 2, 3], np.int64)
 
 
 class Mixture:
@@ -60,8 +58,8 @@ class Mixture:
     def __init__(self, size: int):
         self.size = size
         self.counts = np.zeros(size, np.int64)
-        self.next1, self.sure1 = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        self.next2, self.sure2 = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
+        # the id that followed, times 4, plus the confidence (0 to 3)
+        self.next1, self.next2 = np.zeros(size, np.int32), np.zeros(_SLOTS, np.int32)
         self.seen, self.hits2, self.hits1 = np.full(32, 8, np.int64), np.full(32, 2, np.int64), np.full(32, 1, np.int64)
         self.waiting: list[np.ndarray] = []
         self.rebuild()
@@ -87,22 +85,27 @@ class Mixture:
     def look(self, a: np.ndarray, b: np.ndarray) -> None:
         self.a = a
         self.slot = ((b * 40503 + a) * 2654435761 >> 13) & (_SLOTS - 1)
-        self.q2, self.k2 = self.next2[self.slot], self.sure2[self.slot]
-        self.q1, self.k1 = self.next1[a], self.sure1[a]
-        self.context = self.k2 * 8 + self.k1 * 2 + (self.q1 == self.q2)
+        self.g2, self.g1 = self.next2[self.slot].astype(np.int64), self.next1[a].astype(np.int64)
+        self.q2, self.q1 = self.g2 >> 2, self.g1 >> 2
+        self.context = (self.g2 & 3) * 8 + (self.g1 & 3) * 2 + (self.q1 == self.q2)
         self.m2, self.m1 = self.w2[self.context], self.w1[self.context]
         self.m0 = _PARTS - self.m2 - self.m1
 
+    @staticmethod
+    def _learned(g: np.ndarray, hit: np.ndarray, x4: np.ndarray) -> np.ndarray:
+        """A hit adds to the confidence, a miss takes from it; an id without any gives way."""
+        sure = g & 3
+        return np.where(hit, g + (sure < 3), np.where(sure > 0, g - 1, x4))
+
     def update(self, x: np.ndarray) -> None:
         hit2, hit1 = self.q2 == x, self.q1 == x
         seen = np.bincount(self.context * 4 + hit2 * 2 + hit1, minlength=128).reshape(32, 4)
         self.seen += seen.sum(1)
         self.hits2 += seen[:, 2] + seen[:, 3]
         self.hits1 += seen[:, 1]
-        self.next2[self.slot] = np.where(hit2 | (self.k2 > 0), self.q2, x)
-        self.sure2[self.slot] = _SURER[self.k2 * 2 + hit2]
-        self.next1[self.a] = np.where(hit1 | (self.k1 > 0), self.q1, x)
-        self.sure1[self.a] = _SURER[self.k1 * 2 + hit1]
+        x4 = x * 4
+        self.next2[self.slot] = self._learned(self.g2, hit2, x4)
+        self.next1[self.a] = self._learned(self.g1, hit1, x4)
         self.waiting.append(x)
         if len(self.waiting) == _REBUILD:
             self.rebuild()
@@ -256,6 +259,7 @@ class WordIds(dict):
 
     LIMIT = 400_000
     PLAIN = re.compile(r"[\x21-\x7e\xa1-ſ]{1,100}")
+    TAIL = ".,;:!?%$&#*"
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     #: ``PIECES`` for lowered plain words, with the letters and numbers of their range spelled out.
     LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼½¾]|[^\sA-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼½¾]+")
@@ -285,8 +289,11 @@ class WordIds(dict):
         return got
 
     def __missing__(self, word: str) -> bytes:
-        if self.direct and word.isascii() and word.isalpha() and len(word) <= 100:
-            got = self.piece(word.lower())
+        stem = word.rstrip(self.TAIL)
+        if self.direct and stem.isascii() and stem.isalpha() and len(word) <= 100:
+            got = self.piece(stem.lower())
+            if len(stem) < len(word):
+                got += self.piece(word[len(stem) :])
         elif self.direct and self.PLAIN.fullmatch(word) and "<|" not in word:
             w = word.lower()
             got = self.piece(w) if w.isalpha() else b"".join(map(self.piece, self.LATIN.findall(w)))
