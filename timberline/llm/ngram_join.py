@@ -9,6 +9,11 @@ a shingle among their first ``n - ceil(n * num/den) + 1``, and two among one mor
   far rarer accident than a shared shingle, but their number grows with the square of the prefix.
 * Heavy (large) sets enter inverted lists by each shingle of the prefix, which are scanned.
 
+Shingles that no other prefix has form no keys.  Two linked sets of like size share far more of their
+prefixes than one shingle, so each entry also carries how many shared shingles the set has from there
+on; two entries meet only if both have enough.  The first key that a linked pair shares passes this,
+so no link is lost, while near copies below the threshold, whose prefixes are mostly their own, don't meet.
+
 The boundary between the two is the size at which enumerating costs as much as scanning, computed
 from the lists' mean length over the corpus.  Sets just below the boundary enter the lists as well.
 
@@ -145,13 +150,24 @@ def build_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], width: in
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n long, v long, prefix array<bigint>")
 
 
-def choose_boundary(sets: DataFrame, num: int, den: int) -> int:
+def shared_prefixes(vertices: DataFrame) -> DataFrame:
+    """``v, n, at, q``: the shingles of the prefix that another vertex's prefix has too, in order, with their positions.
+
+    The others can take part in no link's key.  A group holds one document's prefix, a tenth of its shingles.
+    """
+    every = vertices.select("v", "n", F.posexplode("prefix").alias("at", "s"))
+    shared = every.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
+    held = every.join(shared, "s").groupBy("v").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "s"))).alias("q"))
+    return held.select("v", "n", F.col("q.at").alias("at"), F.col("q.s").alias("q"))
+
+
+def choose_boundary(prefixes: DataFrame, num: int, den: int) -> int:
     """The largest size at which enumerating pairs of the prefix costs no more than scanning its lists.
 
     Cost of a key is 1; an entry of an inverted list also costs the list's mean length, seen from an
     entry, which is measured on one in 64 of the corpus's shingles.
     """
-    lists = sets.select(F.explode("prefix").alias("s")).where(F.pmod("s", F.lit(64)) == 0).groupBy("s").agg(F.count("*").alias("c"))
+    lists = prefixes.select(F.explode("q").alias("s")).where(F.pmod("s", F.lit(64)) == 0).groupBy("s").agg(F.count("*").alias("c"))
     r = lists.agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc")).first()
     mean = r["cc"] / r["c"] if r["c"] else 1.0
     n = 1
@@ -163,38 +179,51 @@ def choose_boundary(sets: DataFrame, num: int, den: int) -> int:
     return n
 
 
-def keys_of(vertices: DataFrame, boundary: int, num: int, den: int) -> DataFrame:
-    """``key, v, n`` of every vertex: pairs of its prefix if it is light, single shingles if it is heavy (or just below)."""
+def keys_of(prefixes: DataFrame, boundary: int, num: int, den: int) -> DataFrame:
+    """``key, v, n, r`` of every vertex: pairs of its shared prefix if it is light, single shingles if it is heavy (or just below).
+
+    ``r`` bounds how many shingles of its prefix the vertex can share with another if the key's are the first that they share.
+    """
     low = -(-boundary * num // den)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts = [], []
-            sizes = batch.column(1).to_numpy(zero_copy_only=False)
-            for n, prefix in zip(sizes, batch.column(2), strict=True):
+            keys, rests, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
+            for n, at, prefix in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 p = prefix.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 m = 0
                 if n <= boundary and len(p) > 1:
                     i, j = np.triu_indices(len(p), 1)
                     lo, hi = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
                     keys.append(_mix(lo * _M[2] + _mix(hi * _M[3])))
+                    rests.append(len(p) - j + 1)
                     m += len(i)
                 if n >= low:
-                    one = p[: n - -(-n * num // den) + 1]
+                    one = p[: int((at.values.to_numpy(zero_copy_only=False) <= n - -(-n * num // den)).sum())]
                     keys.append(one)
+                    rests.append(len(p) - np.arange(len(one)))
                     m += len(one)
                 counts.append(m)
-            k = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            at = np.repeat(np.arange(len(counts)), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64), pa.int64()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["key", "v", "n"])
+            k, r = np.concatenate(keys), np.concatenate(rests)
+            row = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64), pa.int64()), batch.column(0).take(row), batch.column(1).take(row), pa.array(r.astype(np.int32), pa.int32())], ["key", "v", "n", "r"])
 
-    return vertices.select("v", "n", "prefix").mapInArrow(scan, "key long, v long, n long")
+    return prefixes.select("v", "n", "at", "q").mapInArrow(scan, "key long, v long, n long, r int")
 
 
 def _alike(a: str, b: str, num: int, den: int):
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def _enough(a: str, b: str, num: int, den: int):
+    """Whether ``r`` of both sides lets them share what ``plausible`` asks of their prefixes."""
+
+    def beyond(n: str) -> str:
+        return f"least(0, 2 - (n{n} * {num} + {den - 1}) div {den})"
+
+    return F.expr(f"least(r{a}, r{b}) >= least({beyond(a)}, {beyond(b)}) + ((n{a} + n{b}) * {num} + {num + den - 1}) div {num + den}")
+
+
 def plausible(pairs: DataFrame, vertices: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``a, b`` that their ordered prefixes allow.
 
@@ -260,7 +289,8 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     some = sets.where("n > 0")
     vertices = settle(some.groupBy("v").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m")).select("v", "m.doc_id", "m.n", "m.prefix"), "vertices")
     ids = vertices.select("v", "doc_id")
-    keys = keys_of(vertices, choose_boundary(vertices, num, den), num, den)
+    prefixes = settle(shared_prefixes(vertices), "prefixes")
+    keys = keys_of(prefixes, choose_boundary(prefixes, num, den), num, den)
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     lists = settle(keys.join(shared, "key"), "lists")
     # central vertices lead: an original has few shingles of its own, an edited copy has some
@@ -272,15 +302,15 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
             placed = placed.withColumn("c", F.col("v"))
         else:
             placed = placed.join(label.withColumnRenamed("id", "v"), "v", "left").withColumn("c", F.coalesce("label", "v")).drop("label")
-        placed = settle(placed.select("key", "v", "n", "score", "c"), "placed")
-        split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("score", "v", "n", "c")).alias("top")).where("lo <> hi")
+        placed = settle(placed.select("key", "v", "n", "r", "score", "c"), "placed")
+        split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("score", "v", "n", "c", "r")).alias("top")).where("lo <> hi")
         if tried is not None:
             # a list that has had its leader is led by the most central vertex outside its component
             led = split.select("key", F.col("top.c").alias("c0"))
-            others = placed.join(led, "key").where("c <> c0").groupBy("key").agg(F.max(F.struct("score", "v", "n", "c")).alias("top"))
+            others = placed.join(led, "key").where("c <> c0").groupBy("key").agg(F.max(F.struct("score", "v", "n", "c", "r")).alias("top"))
             split = others
-        leaders = split.select("key", F.col("top.v").alias("a"), F.col("top.n").alias("na"), F.col("top.c").alias("ca"))
-        star = placed.join(leaders, "key").where((F.col("c") != F.col("ca")) & _alike("na", "n", num, den))
+        leaders = split.select("key", F.col("top.v").alias("a"), F.col("top.n").alias("na"), F.col("top.c").alias("ca"), F.col("top.r").alias("ra"))
+        star = placed.toDF("key", "v", "nb", "rb", "score", "c").join(leaders, "key").where((F.col("c") != F.col("ca")) & _alike("na", "nb", num, den) & _enough("a", "b", num, den))
         star = star.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
         if tried is not None:
             star = star.join(tried, ["a", "b"], "left_anti")
@@ -290,13 +320,13 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
         tried = star if tried is None else tried.union(star)
         label = settle(components(links), "labels")
 
-    placed = lists.join(label.withColumnRenamed("id", "v"), "v", "left").select("key", "v", "n", F.coalesce("label", "v").alias("c"))
+    placed = lists.join(label.withColumnRenamed("id", "v"), "v", "left").select("key", "v", "n", "r", F.coalesce("label", "v").alias("c"))
     placed = settle(placed, "placed")
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     open_ = settle(placed.join(split, "key"), "open")
-    a = open_.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = open_.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = a.join(b, "key").where("ca < cb").where(_alike("na", "nb", num, den))
+    a = open_.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), F.col("c").alias("ca"))
+    b = open_.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("c").alias("cb"))
+    rest = a.join(b, "key").where("ca < cb").where(_alike("na", "nb", num, den) & _enough("a", "b", num, den))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = settle(plausible(rest, vertices, num, den), "rest")
     if not rest.isEmpty():
