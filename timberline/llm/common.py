@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
+#: What a worker gets at a time while ``settle`` writes; texts are long, and a batch is held on both sides.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +47,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at durable files."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    given = {k: spark.conf.get(k, None) for k in SMALL_BATCHES}
+    for k, v in SMALL_BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in given.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,7 +63,7 @@ def press(rows: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)], pa.binary())], ["key", "z"])
 
     return rows.select("key", "text").mapInArrow(scan, f"key {rows.schema['key'].dataType.simpleString()}, z binary")
@@ -64,8 +73,8 @@ def unpress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Inside a task: batches with the texts of column 1 open again, as bytes."""
     open_ = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        for i in range(0, batch.num_rows, 1024):
-            b = batch.slice(i, 1024)
+        for i in range(0, batch.num_rows, 128):
+            b = batch.slice(i, 128)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([open_(z.as_py()) for z in b.column(1)], pa.large_binary()), *b.columns[2:]], names=b.schema.names)
 
 

@@ -51,11 +51,12 @@ REPORT = 2
 #: Comparisons of every list with a leader before components are compared with each other.
 ROUNDS = 2
 _CHUNK_WORDS = 1 << 20
+_CHUNK_KEYS = 1 << 18
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 class _WordHash(dict):
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -94,9 +95,12 @@ def common_shingles(docs: DataFrame, width: int = WIDTH, most: int = COMMON) ->
         words, held, size = _WordHash(), [], 0
 
         def counted() -> pa.RecordBatch:
-            v, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            big = c >= REPORT
-            return pa.RecordBatch.from_arrays([pa.array(v[big].view(np.int64), pa.int64()), pa.array(c[big].astype(np.int64), pa.int64())], ["s", "n"])
+            x = np.concatenate([np.empty(0, np.uint64), *held])
+            held.clear()
+            x.sort()
+            v, c = np.unique(x[1:][x[1:] == x[:-1]], return_counts=True)
+            big = c + 1 >= REPORT
+            return pa.RecordBatch.from_arrays([pa.array(v[big].view(np.int64), pa.int64()), pa.array(c[big].astype(np.int64) + 1, pa.int64())], ["s", "n"])
 
         for batch in batches:
             for t in batch.column(0):
@@ -105,7 +109,7 @@ def common_shingles(docs: DataFrame, width: int = WIDTH, most: int = COMMON) ->
                 size += len(x)
                 if size >= 4 * _CHUNK_WORDS:
                     yield counted()
-                    held, size = [], 0
+                    size = 0
         yield counted()
 
     top = docs.select("text").mapInArrow(scan, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(most).toArrow()
@@ -188,25 +192,35 @@ def keys_of(prefixes: DataFrame, boundary: int, num: int, den: int) -> DataFrame
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rests, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
-            for n, at, prefix in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            keys, rests, rows, made = [], [], [], 0
+
+            def made_keys() -> pa.RecordBatch:
+                row = pa.array(np.concatenate([np.empty(0, np.int64), *rows]))
+                k, r = np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.int32), *rests])
+                for x in (keys, rests, rows):
+                    x.clear()
+                return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64), pa.int64()), batch.column(0).take(row), batch.column(1).take(row), pa.array(r, pa.int32())], ["key", "v", "n", "r"])
+
+            for number, (n, at, prefix) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)):
                 p = prefix.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 m = 0
                 if n <= boundary and len(p) > 1:
                     i, j = np.triu_indices(len(p), 1)
                     lo, hi = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
                     keys.append(_mix(lo * _M[2] + _mix(hi * _M[3])))
-                    rests.append(len(p) - j + 1)
+                    rests.append((len(p) - j + 1).astype(np.int32))
                     m += len(i)
                 if n >= low:
                     one = p[: int((at.values.to_numpy(zero_copy_only=False) <= n - -(-n * num // den)).sum())]
                     keys.append(one)
-                    rests.append(len(p) - np.arange(len(one)))
+                    rests.append(np.arange(len(p), len(p) - len(one), -1, np.int32))
                     m += len(one)
-                counts.append(m)
-            k, r = np.concatenate(keys), np.concatenate(rests)
-            row = pa.array(np.repeat(np.arange(len(counts)), counts))
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64), pa.int64()), batch.column(0).take(row), batch.column(1).take(row), pa.array(r.astype(np.int32), pa.int32())], ["key", "v", "n", "r"])
+                rows.append(np.full(m, number))
+                made += m
+                if made >= _CHUNK_KEYS:
+                    yield made_keys()
+                    made = 0
+            yield made_keys()
 
     return prefixes.select("v", "n", "at", "q").mapInArrow(scan, "key long, v long, n long, r int")
 
