@@ -128,6 +128,22 @@ def test_fingerprints(spark):
     assert spotsigs.edited_likeness(empty(spark)).count() == 0
 
 
+def test_fingerprints_across_limits():
+    """Texts that share most of their words or characters are alike at any length and share of anchors."""
+    prose = "The house of the old miller stands in a valley that few people know and it was empty for years. " * 40
+    names = " ".join(f"name{i} place{i % 7}" for i in range(400))
+    signs = "".join(random.Random(4).choices("#=+*/%", k=200))
+    for whole in (prose, names, names[:3000] + prose, prose[:200] + names, signs, "Mentmentan.", "日本語" + "漢字仮名交文章例" * 9):
+        for n in (11, 55, 60, 61, 80, 90, 300, 499, 500, 501, 520, 700, 745, 760, 2000, len(whole)):
+            text = whole[:n]
+            k = len(text) // 3
+            edited = text[: len(text) - k] + " other words entirely in their place"[:k]
+            assert spotsigs.likeness(spotsigs.spots(text), spotsigs.spots(edited)) > 0.1, (text[:20], n)
+            longer = spotsigs.spots(text + " and so on")
+            assert spotsigs.likeness(spotsigs.spots(text), longer) > 0.25, (text[:20], n)
+    assert all(len(spotsigs.spots(t)) for t in ("!", "a", " ", "é", "%%%", "\ud800"))
+
+
 def test_fingerprint_pairs(spark):
     docs = small(spark, "documents")
     prints = spotsigs.fingerprints(docs)

@@ -1,10 +1,14 @@
 """SpotSigs fingerprints: a document is the set of its spot signatures.
 
 A spot is an anchor, a very common word, and the chain of the next ``CHAIN`` content words (words
-that are no anchors) after it.  Each spot is hashed to 32 bits; the sorted set, base64 of its
-little-endian bytes, is the fingerprint, and likeness is the Jaccard coefficient of two sets.  A
-text short of anchors, or short altogether, takes every word for an anchor, and one of a few
-characters the chain of its characters, so every text that holds a character has a fingerprint.
+that are no anchors) after it.  Texts short of anchors, or short altogether, have too few spots, so
+every text also has the pairs of words that follow each other (the first word follows nothing) and
+the character trigrams of its first word and of its unbroken runs: words of ``LONG_WORD`` characters
+or more, and three or more characters between words.  All texts have the same kinds of signature, and each depends on the
+words around it only, never on the size or the make-up of the whole, so texts that share a stretch
+share its signatures.  Each is hashed to 32 bits; the sorted set, base64 of its little-endian bytes,
+is the fingerprint, and likeness is the Jaccard coefficient of two sets.  A text of one or two
+characters without a word is its own signature, so every text that holds a character has a fingerprint.
 
 ``spot_pairs`` finds all pairs of unlike fingerprints with a Jaccard coefficient of at least a
 threshold: sets are partitioned by length so that partners stand in the same or the next partition,
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from zlib import crc32
@@ -34,8 +39,9 @@ from pyspark.sql import functions as F
 from .decontam import split_words
 
 CHAIN = 2
-SHORT_CHARS = 500
-TINY_CHARS = 60
+LONG_WORD = 17
+#: Long words and what stands between words, by the word characters of ``split_words``.
+RUNS = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]{%d,}|[^0-9A-Za-z\x80-\U0010ffff]{3,}" % LONG_WORD)
 #: Anchors: the commonest function words of the languages that the texts are in.
 ANCHORS = frozenset(
     w.encode()
@@ -53,9 +59,6 @@ def spots(text: str | None) -> np.ndarray:
     if not text:
         return np.empty(0, np.uint32)
     w = split_words(text)
-    if len(text) <= TINY_CHARS or len(w) < 4:
-        t = text.lower()
-        return np.unique(np.fromiter((crc32(t[i : i + 3].encode("utf-8", "surrogatepass")) for i in range(max(1, len(t) - 2))), np.uint32))
     content: list[bytes] = []
     anchors: list[tuple[bytes, int]] = []
     for x in w:
@@ -63,11 +66,14 @@ def spots(text: str | None) -> np.ndarray:
             anchors.append((x, len(content)))
         else:
             content.append(x)
-    if len(text) <= SHORT_CHARS or 16 * len(anchors) < len(w):
-        every = [crc32(b" ".join(w[i : i + CHAIN])) for i in range(len(w) - CHAIN + 1)]
-    else:
-        last = len(content) - CHAIN
-        every = [crc32(a + b" " + b" ".join(content[i : i + CHAIN])) for a, i in anchors if i <= last]
+    every = [crc32(x + b" " + y) for x, y in zip([b"", *w], w)]
+    last = len(content) - CHAIN
+    every += [crc32(a + b" " + b" ".join(content[i : i + CHAIN])) for a, i in anchors if i <= last]
+    for run in [b"".join(w[:1]).decode("utf-8", "surrogatepass"), *RUNS.findall(text)]:
+        t = run.lower()
+        every += [crc32(t[i : i + 3].encode("utf-8", "surrogatepass")) for i in range(len(t) - 2)]
+    if not every:
+        every = [crc32(text.encode("utf-8", "surrogatepass"))]
     return np.unique(np.array(every, np.uint32))
 
 
