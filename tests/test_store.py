@@ -96,3 +96,17 @@ def test_stream(made, spark, tmp_path):
     q.awaitTermination(120)
     spark.catalog.refreshByPath(f"{held.folder}/rows")
     assert spark.read.parquet(f"{held.folder}/rows").count() == before + 1
+
+
+def test_search_after_append(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    line = lambda no, user: (1, no, f"user={user} logged in")
+    kind = "block_id long, line_no long, line string"
+    store.write(spark.createDataFrame([line(i, i) for i in range(9)], kind), folder)
+    store.append(spark.createDataFrame([line(10, "Longer_name"), line(11, 5)], kind), folder)
+    held = store.Store(spark, folder)
+    for text in ("Longer_name", "nger", "user=5"):
+        assert keys(search(held, text).rows(None)) == keys(scan(held.lines(), text)) != [], text
+    want = mining.column_meta(mining.values(held.rows))
+    assert sorted(held.columns.collect()) == sorted(want.select(*held.columns.columns).collect())
+    assert held.columns.count() == 1 and held.bounds.count() == 2

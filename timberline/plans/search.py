@@ -54,7 +54,7 @@ def _may_hold(word: str) -> Callable[[Column], Column]:
 
 def surviving(store: Store, node) -> list[int] | None:
     """Template numbers that may match, -1 (outliers) included; None if too many to list."""
-    cols = store.columns.groupBy("eid").agg(F.collect_list(F.struct("char_mask", "max_len")).alias("cols"))
+    cols = store.bounds.groupBy("eid").agg(F.collect_list(F.struct("char_mask", "max_len")).alias("cols"))
     none = F.array().cast("array<struct<char_mask:int,max_len:int>>")
     x = store.templates.join(cols, "eid", "left").withColumn("cols", F.coalesce("cols", none))
     constants = F.filter("slots", lambda w: w.isNotNull())

@@ -1,7 +1,9 @@
 """The store: lines in Parquet by template, with small tables of templates and columns beside them.
 
 ``rows`` are partitioned by ``bucket`` (template number, modulo) and sorted by template within a
-file, so the template numbers that a search leaves over prune folders and row groups.
+file, so the template numbers that a search leaves over prune folders and row groups.  ``columns`` has a
+row of each column for every batch that was stored, written before the batch's lines, so no search
+prunes what it does not know.
 """
 
 from __future__ import annotations
@@ -24,12 +26,18 @@ def write(lines: DataFrame, folder: str, min_rows: int = 2, codec: str = "zstd")
 
 
 def append(lines: DataFrame, folder: str, codec: str = "zstd", mode: str = "append") -> None:
-    """Store lines under the templates that are there."""
+    """Store lines under the templates that are there, and the statistics of their columns."""
     templates = lines.sparkSession.read.parquet(f"{folder}/templates")
     rows = mining.match(lines, templates).withColumn("bucket", F.pmod(F.col("eid"), F.lit(BUCKETS)))
     # a common template is spread over tasks by a hash of its lines; AQE splits what is left uneven
     spread = F.pmod(F.xxhash64("line_no"), F.lit(8))
-    rows.repartition("bucket", spread).sortWithinPartitions("eid", "line_no").write.mode(mode).option("compression", codec).partitionBy("bucket").parquet(f"{folder}/rows")
+    rows.persist()
+    try:
+        if mode == "append":
+            mining.column_meta(mining.values(rows)).write.mode(mode).option("compression", codec).parquet(f"{folder}/columns")
+        rows.repartition("bucket", spread).sortWithinPartitions("eid", "line_no").write.mode(mode).option("compression", codec).partitionBy("bucket").parquet(f"{folder}/rows")
+    finally:
+        rows.unpersist()
 
 
 class Store:
@@ -37,7 +45,18 @@ class Store:
         self.spark, self.folder = spark, folder
         self.rows = spark.read.parquet(f"{folder}/rows")
         self.templates = spark.read.parquet(f"{folder}/templates")
-        self.columns = spark.read.parquet(f"{folder}/columns")
+        #: Column statistics of each batch.
+        self.bounds = spark.read.parquet(f"{folder}/columns")
+
+    @property
+    def columns(self) -> DataFrame:
+        """Column statistics of all lines, one row for each column; counted again where lines were appended."""
+        key = ["eid", "var_idx"]
+        several = self.bounds.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+        if several.isEmpty():
+            return self.bounds
+        again = mining.column_meta(mining.values(self.rows).join(several, key, "left_semi"))
+        return self.bounds.join(several, key, "left_anti").select(*self.bounds.columns).unionByName(again)
 
     def lines(self) -> DataFrame:
         return self.rows.select("block_id", "line_no", "line")
