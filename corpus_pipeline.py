@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from timberline.llm import decontam, langid, mixing, ngram_join, tokens
 from timberline.llm.common import settle, table
@@ -20,18 +21,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row_key`` for its columns' values: in the order of doc_id, null last, and equal for equal rows only (128-bit hashes)."""
+    values = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    tags = [F.xxhash64(F.lit(salt), *values).alias(f"tag{salt}") for salt in (1, 2)]
+    return docs.withColumn("row_key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *tags))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest id, of each group linked at a Jaccard similarity of 0.8 on five-word shingles."""
-    groups = ngram_join.link_components(docs, width=5, num=80, den=100)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """One document, the one of smallest id, of each group linked at a Jaccard similarity of 0.8 on five-word shingles.
+
+    A null id is the greatest; of rows that repeat an id, whatever their texts, each is a document of
+    its own, so one of a group's rows stays, be they equal or not.  Rows without a shingle all stay.
+    """
+    keyed = _keyed(docs)
+    groups = ngram_join.link_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), width=5, num=80, den=100)
+    first = groups.where(F.col("doc_id") == F.col("component_id"))
+    keep = first.groupBy(F.col("doc_id").alias("row_key")).agg(F.max("n_shingles").alias("n_shingles"))
+    # rows of one key are equal
+    place = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    return keyed.join(keep, "row_key").withColumn("place", place).where("n_shingles = 0 or place = 1").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    leaky = leaks.where(F.size("ranges") > 0).select("doc_id")
-    return docs.join(leaky, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without any window of a benchmark item; each row is judged by its own text, whether its id is null or repeated."""
+    keyed = _keyed(docs)
+    leaks = decontam.find_leaks(keyed.select(F.col("row_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaky = leaks.where(F.size("ranges") > 0).select(F.col("doc_id").alias("row_key"))
+    return keyed.join(leaky, "row_key", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,23 @@ def test_decontamination_stage(spark, steps):
     assert bad.isdisjoint(ids(after)) and set(ids(after)) <= set(ids(before))
 
 
+def test_null_and_repeated_ids(spark):
+    word = random.Random(6).choices([f"w{i}" for i in range(5000)], k=400)
+    text = lambda i: " ".join(word[40 * i : 40 * i + 40])
+    leak = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [
+        (None, text(0), "a"), (None, text(1), "a"), (None, text(1), "a"), (None, text(2), "a"), (7, text(2), "b"), (3, text(3), "a"), (3, text(3), "a"),
+        (3, text(3), "b"), (4, text(4), "a"), (4, text(5), "a"), (None, None, "a"), (None, None, "a"), (5, "", "a"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()), key=str)
+    want = [(None, text(0)), (None, text(1)), (7, text(2)), (3, text(3)), (4, text(4)), (4, text(5)), (None, None), (None, None), (5, "")]
+    assert got == sorted(want, key=str)
+    bad = spark.createDataFrame([(None, leak, "a"), (4, f"so {leak}", "a")], docs.schema)
+    clean = corpus_pipeline.decontaminate(spark, docs.union(bad), SMALL)
+    assert sorted(clean.collect(), key=str) == sorted(docs.collect(), key=str)
+
+
 def test_mixing_stage(steps):
     before, after = steps[3]
     reps = {r["doc_id"]: r["reps"] for r in mixing.mix(before).collect()}
