@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import zstandard
@@ -23,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` if the session names one.
 
-    Only a session without one (a local test) gets a temporary folder of its own.
+    Only a local session without one (a test) gets a temporary folder of its own; on a cluster that
+    would be a folder of one machine, so there the setting is asked for.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -34,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         return given.rstrip("/")
     if current.isDefined():
         return current.get().rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="timberline-")
     context.setCheckpointDir(own)
     return own
@@ -43,19 +48,59 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_lock, _writing = threading.Lock(), {"n": 0, "given": {}}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches while any thread is in here; what the session had before comes back when the last one leaves."""
+    with _lock:
+        if not _writing["n"]:
+            _writing["given"] = {k: spark.conf.get(k, None) for k in SMALL_BATCHES}
+            for k, v in SMALL_BATCHES.items():
+                spark.conf.set(k, v)
+        _writing["n"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing["n"] -= 1
+            if not _writing["n"]:
+                for k, v in _writing["given"].items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at durable files."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    given = {k: spark.conf.get(k, None) for k in SMALL_BATCHES}
-    for k, v in SMALL_BATCHES.items():
-        spark.conf.set(k, v)
-    try:
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        for k, v in given.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more; whatever was made from them must be settled itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Bits of the map that ``likely`` broadcasts, 64 a row: at most 2 MB whatever is marked.
+MARKS = 1 << 23
+
+
+def likely(rows: DataFrame, col: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``rows`` whose ``col`` may be one of ``wanted``'s ``key``: all that are, and few others while the map is not full.
+
+    For use before a join with ``wanted``, so that rows without a partner stay out of its shuffle.
+    """
+    bit = "shiftleft(1L, cast(__b % 64 as int))"
+    marks = wanted.select(F.pmod(F.xxhash64(key), F.lit(MARKS)).alias("__b")).groupBy(F.expr("__b div 64").alias("__w")).agg(F.bit_or(F.expr(bit)).alias("__m"))
+    seen = rows.withColumn("__b", F.pmod(F.xxhash64(col), F.lit(MARKS))).join(F.broadcast(marks), F.expr("__b div 64 = __w"))
+    return seen.where(F.expr(f"__m & {bit} <> 0")).select(*rows.columns)
 
 
 def press(rows: DataFrame) -> DataFrame:

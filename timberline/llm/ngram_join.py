@@ -9,10 +9,12 @@ a shingle among their first ``n - ceil(n * num/den) + 1``, and two among one mor
   far rarer accident than a shared shingle, but their number grows with the square of the prefix.
 * Heavy (large) sets enter inverted lists by each shingle of the prefix, which are scanned.
 
-Shingles that no other prefix has form no keys.  Two linked sets of like size share far more of their
-prefixes than one shingle, so each entry also carries how many shared shingles the set has from there
-on; two entries meet only if both have enough.  The first key that a linked pair shares passes this,
-so no link is lost, while near copies below the threshold, whose prefixes are mostly their own, don't meet.
+Shingles that no other prefix of a set of like size has form no keys.  Two linked sets share far more of
+their prefixes than one shingle, so each entry also carries how many shared shingles the set has from
+there on; an entry without enough for any partner isn't made, a key with two entries is kept only if
+both have enough for each other, and two entries of a longer list meet only then.  The first key that a
+linked pair shares passes this, so no link is lost, while near copies below the threshold, whose
+prefixes are mostly their own, and chance pairs don't meet.
 
 The boundary between the two is the size at which enumerating costs as much as scanning, computed
 from the lists' mean length over the corpus.  Sets just below the boundary enter the lists as well.
@@ -32,7 +34,9 @@ shingles and sets is that of 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, press, settle, unpress
+from .common import components, discard, likely, press, settle, unpress
 
 WIDTH = 3
 NUM, DEN = 90, 100
@@ -154,15 +158,28 @@ def build_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], width: in
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n long, v long, prefix array<bigint>")
 
 
-def shared_prefixes(vertices: DataFrame) -> DataFrame:
-    """``v, n, at, q``: the shingles of the prefix that another vertex's prefix has too, in order, with their positions.
+def size_class(num: int, den: int):
+    """Column: sets of ``n`` shingles by size, so that sets of like size are in the same or the next class (a hair wider than that, for rounding)."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) * (1 + 1e-9))).cast("int")
 
-    The others can take part in no link's key.  A group holds one document's prefix, a tenth of its shingles.
+
+def shared_prefixes(vertices: DataFrame, num: int, den: int) -> DataFrame:
+    """``v, n, at, q``: the shingles of the prefix that another vertex of like size has in its prefix too, in order, with their positions.
+
+    The others can take part in no link's key.  Of a shingle only counts are gathered: how many have
+    it, and two 64-bit maps of their size classes (modulo 64), of those that occur and of those that
+    occur an odd number of times.  Where the counts leave it open whether a class has one or more,
+    the shingle stays.  A group holds one document's prefix, a tenth of its shingles.
     """
-    every = vertices.select("v", "n", F.posexplode("prefix").alias("at", "s"))
-    shared = every.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    held = every.join(shared, "s").groupBy("v").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "s"))).alias("q"))
-    return held.select("v", "n", F.col("q.at").alias("at"), F.col("q.s").alias("q"))
+    every = vertices.select("v", "n", F.pmod(size_class(num, den), F.lit(64)).alias("c"), F.posexplode("prefix").alias("at", "s"))
+    bit = "shiftleft(1L, c)"
+    held = every.groupBy("s").agg(F.count("*").alias("m"), F.bit_or(F.expr(bit)).alias("some"), F.bit_xor(F.expr(bit)).alias("odd")).where("m > 1")
+    # classes that occur an even number of times have two or more; if that explains all that are more than classes, the odd ones have one
+    held = held.select("s", "some", F.expr("some & ~odd").alias("even"), F.expr("m - bit_count(some) > bit_count(some & ~odd)").alias("more"))
+    near = "some & (shiftleft(1L, (c + 1) % 64) | shiftleft(1L, (c + 63) % 64))"
+    x = every.join(held, "s").where(F.expr(f"more or even & {bit} <> 0 or {near} <> 0"))
+    x = x.groupBy("v").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "s"))).alias("q"))
+    return x.select("v", "n", F.col("q.at").alias("at"), F.col("q.s").alias("q"))
 
 
 def choose_boundary(prefixes: DataFrame, num: int, den: int) -> int:
@@ -183,6 +200,14 @@ def choose_boundary(prefixes: DataFrame, num: int, den: int) -> int:
     return n
 
 
+@lru_cache(1 << 16)
+def least_shared(n: int, num: int, den: int) -> int:
+    """The smallest number of shingles that a set of ``n`` must share, in the stored prefixes, with a partner of any size that can link."""
+    m = np.arange(max(1, -(-n * num // den)), n * den // num + 1)
+    beyond = np.minimum(0, 2 - -(-np.maximum(n, m) * num // den))
+    return max(1, int((beyond + -(-(n + m) * num // (num + den))).min()))
+
+
 def keys_of(prefixes: DataFrame, boundary: int, num: int, den: int) -> DataFrame:
     """``key, v, n, r`` of every vertex: pairs of its shared prefix if it is light, single shingles if it is heavy (or just below).
 
@@ -203,15 +228,17 @@ def keys_of(prefixes: DataFrame, boundary: int, num: int, den: int) -> DataFrame
 
             for number, (n, at, prefix) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)):
                 p = prefix.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                m = 0
+                m, least = 0, least_shared(n, num, den)
                 if n <= boundary and len(p) > 1:
                     i, j = np.triu_indices(len(p), 1)
+                    enough = len(p) - j + 1 >= least
+                    i, j = i[enough], j[enough]
                     lo, hi = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
                     keys.append(_mix(lo * _M[2] + _mix(hi * _M[3])))
                     rests.append((len(p) - j + 1).astype(np.int32))
                     m += len(i)
                 if n >= low:
-                    one = p[: int((at.values.to_numpy(zero_copy_only=False) <= n - -(-n * num // den)).sum())]
+                    one = p[: max(0, min(len(p) - least + 1, int((at.values.to_numpy(zero_copy_only=False) <= n - -(-n * num // den)).sum())))]
                     keys.append(one)
                     rests.append(np.arange(len(p), len(p) - len(one), -1, np.int32))
                     m += len(one)
@@ -259,14 +286,14 @@ def plausible(pairs: DataFrame, vertices: DataFrame, num: int, den: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     v = vertices.select("v", "n", "prefix")
-    x = pairs.join(v.toDF("a", "na", "pa"), "a").join(v.toDF("b", "nb", "pb"), "b").where(_alike("na", "nb", num, den))
+    x = pairs.join(likely(v, "v", pairs, "a").toDF("a", "na", "pa"), "a").join(likely(v, "v", pairs, "b").toDF("b", "nb", "pb"), "b").where(_alike("na", "nb", num, den))
     return x.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(scan, "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs ``a, b`` of vertices that link.  ``ids(v, doc_id)`` names a document of each vertex; sets are made again for those only."""
     wanted = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-    named = wanted.join(ids, "v").select("v", "doc_id")
+    named = settle(likely(ids, "v", wanted, "v").join(wanted, "v").select("v", "doc_id"), "named")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordHash()
@@ -279,7 +306,7 @@ def verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, num: i
             made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(vs, pa.int64()), pa.array(ss, pa.binary())], ["v", "got", "s"])
             yield made
 
-    texts = press(docs.select(F.col("doc_id").alias("key"), "text"))
+    texts = press(likely(docs.select("doc_id", "text"), "doc_id", named, "doc_id").withColumnRenamed("doc_id", "key"))
     texts = texts.join(named, F.col("key").eqNullSafe(F.col("doc_id"))).select("v", "z")
     sets = texts.mapInArrow(scan, "v long, got long, s binary").where("v = got").select("v", "s")
     sets = settle(sets, "shingles")
@@ -294,7 +321,9 @@ def verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, num: i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
-    return x.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    links = settle(x.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
+    discard(sets, named)
+    return links
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -303,10 +332,12 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     some = sets.where("n > 0")
     vertices = settle(some.groupBy("v").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m")).select("v", "m.doc_id", "m.n", "m.prefix"), "vertices")
     ids = vertices.select("v", "doc_id")
-    prefixes = settle(shared_prefixes(vertices), "prefixes")
+    prefixes = settle(shared_prefixes(vertices, num, den), "prefixes")
     keys = keys_of(prefixes, choose_boundary(prefixes, num, den), num, den)
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("na"), F.max("n").alias("nb"), F.min("r").alias("ra")).withColumn("rb", F.col("ra"))
+    shared = shared.where((F.col("c") > 2) | ((F.col("c") == 2) & _alike("na", "nb", num, den) & _enough("a", "b", num, den))).select("key")
     lists = settle(keys.join(shared, "key"), "lists")
+    discard(prefixes)
     # central vertices lead: an original has few shingles of its own, an edited copy has some
     score = lists.groupBy("v").agg(F.count("*").alias("score"))
     label, links, tried = None, None, None
@@ -328,8 +359,10 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
         star = star.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
         if tried is not None:
             star = star.join(tried, ["a", "b"], "left_anti")
-        star = settle(plausible(star, vertices, num, den), "star")
-        found = settle(verify(star, docs, ids, width, num, den), "links")
+        met = settle(star, "met")
+        star = settle(plausible(met, vertices, num, den), "star")
+        discard(placed, met)
+        found = verify(star, docs, ids, width, num, den)
         links = found if links is None else links.union(found)
         tried = star if tried is None else tried.union(star)
         label = settle(components(links), "labels")
@@ -338,16 +371,22 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     placed = settle(placed, "placed")
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     open_ = settle(placed.join(split, "key"), "open")
+    discard(placed, lists)
     a = open_.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), F.col("c").alias("ca"))
     b = open_.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("c").alias("cb"))
     rest = a.join(b, "key").where("ca < cb").where(_alike("na", "nb", num, den) & _enough("a", "b", num, den))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = settle(plausible(rest, vertices, num, den), "rest")
+    met = settle(rest, "met")
+    rest = settle(plausible(met, vertices, num, den), "rest")
+    discard(open_, met)
     if not rest.isEmpty():
         more = verify(rest, docs, ids, width, num, den)
         label = settle(components(links.union(more)), "labels")
 
-    rows = sets.select("doc_id", "n", "v").join(label.withColumnRenamed("id", "v"), "v", "left").withColumn("label", F.coalesce("label", "v"))
-    least = vertices.select("v", "doc_id").join(label.withColumnRenamed("id", "v"), "v", "left").groupBy(F.coalesce("label", "v").alias("label")).agg(F.min("doc_id").alias("least"))
-    full = rows.where("n > 0").join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    # tables of one row a vertex or component first, so that a large group is only ever a side of a join that can be split
+    placed = settle(vertices.select("v", "doc_id").join(label.withColumnRenamed("id", "v"), "v", "left").select("v", "doc_id", F.coalesce("label", "v").alias("label")), "placed")
+    least = settle(placed.groupBy("label").agg(F.min("doc_id").alias("least")), "least")
+    of = settle(placed.join(least, "label").select("v", "least"), "of")
+    discard(vertices, placed, least)
+    full = sets.where("n > 0").select("doc_id", "n", "v").join(of, "v").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return full.union(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
