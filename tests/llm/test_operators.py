@@ -279,6 +279,52 @@ def test_repeated_bytes(spark, monkeypatch):
     assert suffix_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_repeated_bytes_under_one_id(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, other = text(150), text(260), text(400)
+    for rows in (
+        [(1, a, None), (2, a + b, None), (2, other, None)],
+        [(1, a, None), (1, b + a, None), (3, b, "x")],
+        [(None, a, None), (None, a, None), (None, b + a, None), (0, b, None), (0, None, None), (5, a + other, None), (5, a + other, None), (4, other, None)],
+    ):
+        docs = edge_docs(spark, rows)
+        # each (id, text) is a document of its own; its number keeps the order of ids
+        order = sorted({(r["key"], r["doc_id"], r["text"]) for r in suffix_dedup.keyed(docs).collect()})
+        assert [d for _, d, _ in order] == sorted((d for _, d, _ in order), key=lambda d: -1 if d is None else d)
+        assert len(order) == len(set(rows)) and len({k for k, _, _ in order}) == len(order)
+        want = plain.repeated_bytes([(k, t) for k, _, t in order])
+        by_text = {(d, t): want[k] for k, d, t in order}
+        got = sorted((repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs).collect())
+        assert got == sorted((repr(d), *by_text[(d, t)]) for d, t, _ in rows)
+
+
+def test_repeated_bytes_with_common_anchors(spark, monkeypatch):
+    """One 60-byte string in unlike surroundings all over: its segments are dealt by their refined bucket."""
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, longer = text(60), text(130)
+    rows = [(i, "".join(rng.choice((line, line + text(45), longer, text(70))) for _ in range(rng.randint(1, 9))), None) for i in range(60)]
+    docs = edge_docs(spark, rows)
+    want = plain.repeated_bytes(pairs(docs))
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_EVERY", 1)
+    monkeypatch.setattr(suffix_dedup, "COMMON", 5)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 700)
+    assert len(suffix_dedup.common_anchors(suffix_dedup.keyed(docs))) > 0
+    assert removed(suffix_dedup.dedup(docs.repartition(5))) == want
+
+
+def test_bucket_refinement():
+    rng = random.Random(11)
+    texts = [("".join(rng.choice("ab") for _ in range(rng.randint(0, 30))) * rng.randint(1, 20)).encode() for _ in range(60)]
+    s = suffix_dedup.Stretch(texts, suffix_dedup._Powers())
+    raw, seen, want = b"".join(texts), set(), []
+    for at in s.window_starts():
+        want.append(raw[at : at + 100] in seen)
+        seen.add(raw[at : at + 100])
+    assert s.repeated_here(s.window_starts()).tolist() == want
+
+
 def test_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

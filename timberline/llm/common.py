@@ -104,14 +104,17 @@ def likely(rows: DataFrame, col: str, wanted: DataFrame, key: str) -> DataFrame:
 
 
 def press(rows: DataFrame) -> DataFrame:
-    """Of ``rows(key, text)``: ``key, z``, the texts as compressed UTF-8 for their way through shuffles."""
+    """Of ``rows(key, text, ...)``: ``key, z, ...``, the texts as compressed UTF-8 for their way through shuffles."""
+    others = [f for f in rows.schema.fields if f.name not in ("key", "text")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)], pa.binary())], ["key", "z"])
+            z = pa.array([squeeze((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), z, *batch.columns[2:]], ["key", "z", *batch.schema.names[2:]])
 
-    return rows.select("key", "text").mapInArrow(scan, f"key {rows.schema['key'].dataType.simpleString()}, z binary")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    return rows.select("key", "text", *[f.name for f in others]).mapInArrow(scan, f"key {rows.schema['key'].dataType.simpleString()}, z binary{', ' + kinds if kinds else ''}")
 
 
 def unpress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
