@@ -87,3 +87,29 @@ def water_fill(sources, most=3):
 
 def crc(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+def main_texts(pages, run=6, covered=0.5):
+    """[text] of pages [(url, [(kind, block)])], by looking at every run of every page."""
+    where, hosts = defaultdict(set), []
+    padded = lambda t: (w := t.split()) + ["\x02"] * max(0, run - len(w))
+    runs = lambda t: [tuple(w[i : i + run]) for w in [padded(t)] for i in range(len(w) - run + 1)]
+    for url, blocks in pages:
+        m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", url or "")
+        hosts.append(m[1].lower() if m else "")
+        loose = tuple(t for k, t in blocks if k != "main")
+        for t in loose:
+            for r in runs(t):
+                where[hosts[-1], r].add(loose)
+    out = []
+    for host, (_, blocks) in zip(hosts, pages):
+        if any(k == "main" for k, _ in blocks):
+            out.append("\n\n".join(t for k, t in blocks if k == "main"))
+            continue
+        kept = []
+        for t in (t for k, t in blocks if k == "open"):
+            inside = {j for i, r in enumerate(runs(t)) if len(where[host, r]) > 1 for j in range(i, i + run)}
+            if len(inside) < covered * len(padded(t)):
+                kept.append(t)
+        out.append("\n\n".join(kept))
+    return out

@@ -206,6 +206,34 @@ def test_main_text(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_blocks():
+    text = lambda body: "|".join(t for k, t in html.blocks(f"<html><body>{body}") if k in ("main", "open"))
+    assert text('<main><p data-id="nav">a</p><p data-role="share">b</p><p title=\'class="ad"\'>c</p></main>') == "a|b|c"
+    assert text('<main><article><p>a</p></article><article class="comment"><p>x</p></article><article class="comment-body even">y</article></main>') == "a"
+    assert text('<article class="post has-comments has-sidebar"><p>a</p><div class="comments">x</div><aside>y</aside></article>') == "a"
+    assert text('<div role="main"><p>a</p><nav>x</nav></div><div role="navigation">y</div>') == "a"
+    assert text("<p>a<form>x</form><p id=cookie-notice>y<p>b") == "a|b" and text("") == text("<") .strip("<") == ""
+
+
+def test_main_text_is_plain(spark):
+    """Pages with and without articles, copies of pages, repeated and missing page_ids, a very long page."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    common = [text(n) for n in (3, 6, 9, 20)]
+    rows = []
+    for i in range(60):
+        body = "".join(f"<div>{rng.choice((rng.choice(common), text(rng.randint(1, 15)), rng.choice(common) + ' ' + text(9)))}</div>" for _ in range(rng.randint(0, 6)))
+        body += rng.choice(("", f"<article><p>{text(12)}<p>{common[3]}</article>", f"<nav>{common[1]}</nav>"))
+        rows.append((rng.choice((i, i, None, 7)), rng.choice((None, f"http://h{i % 3}.example/{i}")), f"<body>{body}</body>"))
+    rows += rows[:9] + [(99, "http://h1.example/long", f"<p>{text(40_000)}<p>{common[2]}")]
+    df = spark.createDataFrame([(*r, 1, "h") for r in rows], "page_id long, url string, html string, row long, host string")
+    got = sorted((repr(r["page_id"]), repr(r["url"]), r["text"], r["n_chars"]) for r in html.extract(df.repartition(5), chunk=16).collect())
+    want = plain.main_texts([(url, html.blocks(body)) for _, url, body in rows])
+    assert got == sorted((repr(p), repr(u), t, len(t)) for (p, u, _), t in zip(rows, want))
+    assert any(t == "" for t in want) and len({t for t in want if t}) > 40
+
+
 def test_suffix_array_runs():
     rng = random.Random(2)
     pages = [(i, [rng.choice("abc") for _ in range(rng.randint(0, 40))]) for i in range(12)]

@@ -1,24 +1,27 @@
-"""Main-text extraction with a host suffix array.
-
-Each page is parsed into blocks of text, each with the kind of the container it stands in: ``main``
-(article, main), ``aside`` (menus, headers, footers, side bars, notices, adverts, forms, comments)
-or ``open``.  Within a host the token streams of all blocks outside an article are concatenated
-page by page and a suffix array over them finds the runs of ``RUN`` tokens that occur on distinct
-pages.  The arrays are built where the pages are read, one for each host and chunk of ``CHUNK``
-pages, and yield one row for each run with the first and last page that has it; the rows of a run,
+"""Main-text extraction with markup and a host suffix array.
+
+Each page is parsed, once, into blocks of text, each with the kind of the container it stands in:
+``main`` (article, main), ``aside`` (menus, headers, footers, side bars, notices, adverts, forms,
+comments) or ``open``.  Within a host the token streams of all blocks outside an article are
+concatenated page by page and a suffix array over them finds the runs of ``RUN`` tokens that occur on
+distinct pages.  The arrays are built in each task, one for each host and chunk of ``CHUNK``
+pages, and yield one row for each run with the least and greatest page that has it; the rows of a run,
 from whatever chunk, meet in an aggregate, so no text is shuffled for them, a host is never gathered
-in one task and a run is found wherever its pages lie.  Blocks that such runs
-cover for the most part are boilerplate and go, the others are unique runs and stay, except that the
-markup also speaks: an article's blocks always stay (articles do share passages), ``aside`` blocks
-always go, and on a page with an article the ``open`` blocks go as well.  So on pages without an
-article the array alone decides between ``open`` blocks.
+in one task and a run is found wherever its pages lie.  A page is its blocks outside the article:
+copies of a page, under one page_id or several, are one page, so a copy makes nothing boilerplate.
+
+What decides.  ``open`` blocks of a page without an article stay if they are unique: repeated runs
+cover less than ``COVERED`` of their tokens.  Elsewhere markup decides, since there the array alone is
+wrong both ways: articles share long passages and keep them, and menus, adverts and comments may be
+unlike on every page.  So ``aside`` blocks go, an article's blocks stay whole, and beside an article
+``open`` blocks go.
 
 Text: character references decoded, white space within a block made one space, trimmed, blocks
 joined by two line breaks.
 
-Defined results: a null or empty html has an empty text; a null url counts as an empty host; pages
-that repeat a page_id are kept, as one page to the array; broken or unclosed markup closes with its
-container; extra columns are ignored.
+Defined results: a null or empty html has an empty text; a null url counts as an empty host; rows
+that repeat a page_id, or have none, are pages of their own and all kept; broken or unclosed markup
+closes with its container; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +38,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 RUN = 6
 COVERED = 0.5
 #: Pages that a task looks at together: those of one host among them make one suffix array.
 CHUNK = 2048
 
 _TAG = regex.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", regex.S)
-_ATTR = regex.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
+_ATTR = regex.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_NAMING = {"class", "id", "role"}
 _SKIP = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "title", "head", "select", "math"}
 _ASIDE = {"nav", "footer", "aside", "form", "header", "menu", "dialog", "button"}
 _MAIN = {"article", "main"}
@@ -49,7 +55,8 @@ _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del",
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _NOISE = regex.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|header|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])", regex.I)
 _RAW_END = {t: regex.compile(rf"</{t}\s*>", regex.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
-_CLOSED_BY_BLOCK = {"p", "b", "i", "em", "strong", "span", "a", "u", "small"}
+#: What an article is called that is not the page's: a reader's comment, a teaser, an advert.
+_OTHER_ARTICLE = regex.compile(r"(?:^|\s)(?:comments?(?:$|[\s_-])|(?:ads?|advert|promo|related|reply|sponsored|teaser|widget)(?:$|\s))", regex.I)
 
 
 def blocks(html: str | None) -> list[tuple[str, str]]:
@@ -113,11 +120,11 @@ def blocks(html: str | None) -> list[tuple[str, str]]:
                 stack.pop()
         own = kind = stack[-1][1] if stack else "open"
         if own not in ("skip", "aside"):
-            said = " ".join(x for a in _ATTR.findall(m[4] or "") for x in a if x)
+            said = " ".join("".join(a[1:]) for a in _ATTR.findall(m[4] or "") if a[0].lower() in _NAMING)
             if tag in _SKIP:
                 own = "skip"
-            elif tag in _MAIN:
-                own = "main"
+            elif tag in _MAIN or said == "main":
+                own = "aside" if _OTHER_ARTICLE.search(said) else "main"
             elif tag in _ASIDE and not (tag == "header" and own == "main"):
                 own = "aside"
             elif said and tag not in ("body", "html") and _NOISE.search(said):
@@ -179,78 +186,78 @@ def _tokens(text: str, run: int) -> list[str]:
     return t + ["\x02"] * max(0, run - len(t))  # a short block is one run with its end marks
 
 
-def parse(pages: DataFrame, packed: bool = False) -> DataFrame:
-    """Pages with their blocks; ``packed``: with the blocks compressed, as ``z``, for their way through a shuffle."""
+def parse(pages: DataFrame) -> DataFrame:
+    """``page_id, url, host, z, loose, ask`` of each page: its blocks compressed, a hash of those outside the article, whether open blocks are to be decided."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            z = [squeeze(json.dumps(blocks(h.as_py()), ensure_ascii=False).encode("utf-8", "surrogatepass")) for h in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["page_id", "url", "z"])
-
-    if packed:
-        return pages.select("page_id", "url", "html").mapInArrow(pack, f"page_id {kind}, url string, z binary")
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
-        for batch in batches:
-            got = [[{"kind": k, "text": t} for k, t in blocks(h.as_py())] for h in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, shape)], ["page_id", "url", "blocks"])
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            zs, loose, ask = [], [], []
+            for h in batch.column(2):
+                got = blocks(h.as_py())
+                zs.append(squeeze(json.dumps(got, ensure_ascii=False).encode("utf-8", "surrogatepass")))
+                kinds = {k for k, _ in got}
+                ask.append("open" in kinds and "main" not in kinds)
+                loose.append(xxhash.xxh3_64_intdigest("\x02".join(t for k, t in got if k != "main").encode("utf-8", "surrogatepass")) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(zs, pa.binary()), pa.array(loose, pa.int64()), pa.array(ask, pa.bool_())], ["page_id", "url", "z", "loose", "ask"])
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
-    x = pages.select("page_id", "url", "html").mapInArrow(scan, f"page_id {kind}, url string, blocks array<struct<kind:string,text:string>>")
+    x = pages.select("page_id", "url", "html").mapInArrow(scan, f"page_id {kind}, url string, z binary, loose long, ask boolean")
     return x.withColumn("host", host)
 
 
 def host_runs(parsed: DataFrame, run: int = RUN, chunk: int = CHUNK) -> DataFrame:
     """``host, h`` of each run that occurs on distinct pages of a host, outside articles."""
-    kind = parsed.schema["page_id"].dataType.simpleString()
-    loose = F.filter("blocks", lambda b: b["kind"] != "main")
-    x = parsed.where(F.col("page_id").isNotNull()).select("host", "page_id", F.transform(loose, lambda b: b["text"]).alias("texts")).where(F.size("texts") > 0)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, chunk):
-                batch = whole.slice(at, chunk)
-                by_host: dict[str, list] = {}
-                for host, page, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    by_host.setdefault(host, []).extend((page, _tokens(t, run)) for t in texts)
-                rows = [(host, h, min(p, q), max(p, q)) for host, streams in by_host.items() for h, p, q in long_runs(streams, run)]
-                cols = zip(*rows, strict=True) if rows else [[]] * 4
-                kinds = (pa.string(), pa.int64(), batch.schema.field(1).type, batch.schema.field(1).type)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "h", "lo", "hi"])
-
-    runs = x.mapInArrow(arrays, f"host string, h long, lo {kind}, hi {kind}")
+        open_ = zstandard.ZstdDecompressor().decompress
+        for batch in (b.slice(at, chunk) for b in batches for at in range(0, b.num_rows, chunk)):
+            by_host: dict[str, list] = {}
+            for host, page, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                by_host.setdefault(host, []).extend((page, _tokens(t, run)) for k, t in json.loads(open_(z.as_py())) if k != "main")
+            rows = [(host, h, min(p, q), max(p, q)) for host, streams in by_host.items() for h, p, q in long_runs(sorted(streams, key=lambda x: x[0]), run)]
+            cols = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), *[pa.int64()] * 3), strict=True)], ["host", "h", "lo", "hi"])
+
+    runs = parsed.select("host", "loose", "z").mapInArrow(arrays, "host string, h long, lo long, hi long")
     return runs.groupBy("host", "h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("host", "h")
 
 
-def extract(pages: DataFrame, run: int = RUN, covered: float = COVERED, chunk: int = CHUNK) -> DataFrame:
-    """``page_id, url, text, n_chars`` for each row of ``pages(page_id, url, html)``."""
-    kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = parse(pages).withColumn("row", F.monotonically_increasing_id())
-    repeated = host_runs(parse(pages), run, chunk)
+def covered_blocks(parsed: DataFrame, repeated: DataFrame, run: int = RUN, covered: float = COVERED) -> DataFrame:
+    """``row, gone``: the open blocks, by number, of the pages ``row, host, z`` that runs of ``repeated`` cover for the most part."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        open_ = zstandard.ZstdDecompressor().decompress
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             rows: list[tuple] = []
-            for key, host, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for i, b in enumerate(texts):
-                    if b["kind"] != "main":
-                        t = _tokens(b["text"], run)
+            for key, host, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for i, (k, text) in enumerate(json.loads(open_(z.as_py()))):
+                    if k == "open":
+                        t = _tokens(text, run)
                         rows.extend((host, xxhash.xxh3_64_intdigest(" ".join(t[j : j + run])) - (1 << 63), key, i, j, len(t)) for j in range(len(t) - run + 1))
             cols = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["host", "h", "row", "i", "j", "n"])
 
-    at = parsed.select("row", "host", "blocks").mapInArrow(mark, "host string, h long, row long, i int, j int, n int")
+    at = parsed.select("row", "host", "z").mapInArrow(mark, "host string, h long, row long, i int, j int, n int")
     # tokens of a block inside repeated runs: the length of the union of [j, j + run)
     hits = at.join(repeated, ["host", "h"]).groupBy("row", "i").agg(F.array_sort(F.collect_set("j")).alias("js"), F.max("n").alias("n"))
     union = F.aggregate("js", F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), lambda acc, j: F.struct((j + run).alias("end"), (acc["sum"] + (j + run) - F.greatest(acc["end"], j)).alias("sum")), lambda acc: acc["sum"])
-    gone = hits.where(union >= F.col("n") * covered).groupBy("row").agg(F.collect_set("i").alias("gone"))
+    return hits.where(union >= F.col("n") * covered).groupBy("row").agg(F.collect_set("i").alias("gone"))
+
+
+def extract(pages: DataFrame, run: int = RUN, covered: float = COVERED, chunk: int = CHUNK) -> DataFrame:
+    """``page_id, url, text, n_chars`` for each row of ``pages(page_id, url, html)``."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+    # the row numbers are written with the blocks, so they hold however often a task runs again
+    parsed = settle(parse(pages).withColumn("row", F.monotonically_increasing_id()), "blocks")
+    asked = parsed.where("ask")
+    # a table of its own, so that a host's common run is a side of a join that can be split
+    gone = covered_blocks(asked, settle(host_runs(parsed, run, chunk), "runs"), run, covered)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             texts = []
             for z, lost in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 every, lost = json.loads(open_(z.as_py())), set(lost or ())
@@ -258,7 +265,7 @@ def extract(pages: DataFrame, run: int = RUN, covered: float = COVERED, chunk: i
                 texts.append("\n\n".join(t for i, (k, t) in enumerate(every) if k == "main" or (k == "open" and not has_main and i not in lost)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    # the same scan in the same order gives the same row numbers as ``parsed``
-    whole = parse(pages, packed=True).withColumn("row", F.monotonically_increasing_id())
-    kept = whole.join(gone, "row", "left").select("page_id", "url", "z", "gone").mapInArrow(keep, f"page_id {kind}, url string, text string")
+    told = asked.join(gone, "row", "left").select("page_id", "url", "z", "gone")
+    clear = parsed.where("not ask").select("page_id", "url", "z", F.lit(None).cast("array<int>").alias("gone"))
+    kept = told.union(clear).mapInArrow(keep, f"page_id {kind}, url string, text string")
     return kept.withColumn("n_chars", F.length("text").cast("long"))
