@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -79,18 +80,37 @@ def test_chat(spark):
     rows = [
         (1, 0, "system", "s"), (1, 1, "user", "a <|im_end|> <\\| b"), (1, 2, "assistant", "<|x|>\n<\\\\|y"), (2, 0, "assistant", None),
         (3, None, "us\\er\n<|", "t"), (3, 5, None, ""), (4, 1, "user", "q"), (4, 2, "assistant", "x<"), (4, 2, "assistant", "x<"),
+        (None, 1, "user", "m"), (None, 2, "assistant", "n"),
     ]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, segments string, formatted string")
     out = chat.format_chats(df)
+    made = {r["conv_id"]: r for r in out.collect()}
     back = {r["conv_id"]: r for r in chat.read_back(out).collect()}
     assert [(t["role"], t["text"]) for t in back[1]["turns"]] == [r[2:] for r in rows[:3]]
     assert [(t["role"], t["text"]) for t in back[3]["turns"]] == [("us\\er\n<|", "t"), ("", "")]
-    assert back[1]["loss_text"] == rows[2][3] and back[1]["valid"] and not back[2]["valid"] and back[2]["bad_turn"] == 0
-    assert back[4]["loss_text"] == "x<x<" and back[4]["bad_turn"] == 2 and back[4]["formatted"].count("<|im_end|>") == 3
-    assert "".join(s["text"] for s in back[3]["segments"]) == back[3]["formatted"]
+    assert back[1]["loss_text"] == rows[2][3] and made[1]["valid"] and not made[2]["valid"] and made[2]["bad_turn"] == 0
+    assert back[4]["loss_text"] == "x<x<" and made[4]["bad_turn"] == 2 and made[4]["formatted"].count("<|im_end|>") == 3
+    assert len(made) == len(back) == 5 and back[None]["loss_text"] == "n"
+    for r in made.values():
+        assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
+        assert [r["formatted"][p["start"] : p["start"] + p["length"]] for p in r["loss_spans"]] == [s["text"] for s in r["segments"] if s["loss"]]
     assert chat.digest(df.where("false")).count() == 0
 
 
+def test_long_chat(spark):
+    """A conversation of very many turns is formatted and read back in seconds."""
+    n = 40_000
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    rows = spark.range(n).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("é <|im_end|> "), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    got = chat.digest(rows).first()
+    texts = [f"é <|im_end|> {i}" for i in range(n)]
+    assert got["n_turns"] == n and got["valid"] and got["loss_chars"] == sum(map(len, texts[1::2]))
+    assert got["loss_sha256"] == hashlib.sha256("".join(texts[1::2]).encode()).hexdigest()
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{('user', 'assistant')[i % 2]}\n{t}\n" for i, t in enumerate(texts)).encode()).hexdigest()
+    assert time.time() - began < 60
+
+
 def test_decontamination(spark, monkeypatch):
     random.seed(5)
     word = lambda: random.choice(["the", "of", "a", "Xy", "é", "7"])

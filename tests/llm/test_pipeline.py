@@ -67,6 +67,34 @@ def test_null_and_repeated_ids(spark):
     assert sorted(clean.collect(), key=str) == sorted(docs.collect(), key=str)
 
 
+CLASHES = {"score": 7.5, "margin": 1.5, "accepted": False, "lang_pred": "x", "row_key": 1, "n": 2, "n_shingles": 3, "place": 4, "reps": 5, "size": 6, "key": 7, "z": 8, "text2": None, "doc.id": 9}
+
+
+def test_edge_rows_pass_every_stage(spark):
+    """Null and repeated ids, null and empty texts, equal rows, clashing columns: each stage keeps the columns and their values."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    more = [(None, None, None, None, 0), (None, "", "xx", None, 0), (3, "The words of a text that is like no other text here at all.", None, "s", 9)]
+    more = spark.createDataFrame([*more, more[2], more[1]], docs.schema)
+    docs = docs.unionByName(more).withColumns({f"{k}": F.lit(v) for k, v in CLASHES.items()})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = settle(stage(spark, docs, SMALL), name.split()[0])
+        assert out.columns == docs.columns, name
+        got = out.select(*[f"`{c}`" for c in CLASHES]).distinct().collect()
+        assert [tuple(r) for r in got] == [tuple(CLASHES.values())], name
+        assert stage(spark, docs.where("false"), SMALL).count() == 0
+    n = corpus_pipeline.token_ids(spark, docs, SMALL).count()
+    assert n == docs.count() and corpus_pipeline.token_ids(spark, docs.where("false"), SMALL).count() == 0
+
+
+def test_mix_by_row(spark):
+    """Rows of one id, or none, are taken each by their own share."""
+    rows = [(i % 3 if i % 2 else None, f"{'word ' * (1 + i % 7)}", "abc"[i % 3 % 2]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = lambda df: {r["source"]: r["n"] for r in df.groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect()}
+    want = {r["source"]: r["n"] for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert sizes(corpus_pipeline.mix(spark, docs, SMALL)) == want
+
+
 def test_mixing_stage(steps):
     before, after = steps[3]
     reps = {r["doc_id"]: r["reps"] for r in mixing.mix(before).collect()}

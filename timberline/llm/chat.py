@@ -9,9 +9,12 @@ Control strings inside texts are escaped reversibly: ``<``, any number of backsl
 one more backslash, so no escaped text holds ``<|``; reading back removes one.  Roles are escaped
 too, with ``\\n`` for a line break and ``\\b`` for a backslash before that.
 
+Places in the output are running sums over the rows of a conversation, so the work grows with its
+length, not with the square of it.
+
 Defined results: a null text or role is empty; rows of a conversation are ordered by turn (nulls
-first), then role and text; repeated rows stay; an empty table gives an empty result; other columns
-are ignored.
+first), then role and text; repeated rows stay; rows of a null conv_id are one conversation; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 NL = "\n"
 
@@ -73,14 +77,20 @@ def format_chats(rows: DataFrame, template: Template = CHATML) -> DataFrame:
     under the loss.
     """
     before, between = template.before.split("{role}")
-    t = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = rows.select("conv_id", t.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    x = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    head = F.concat(F.lit(before), escape_role(F.col("role")), F.lit(between))
+    x = x.withColumn("head", head).withColumn("body", escape(F.col("text"))).withColumn("size", (F.length("head") + F.length("body") + len(template.after)).cast("long"))
+    earlier = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("at", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    grouped = x.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "role", "head", "body"))).alias("turns"))
+
+    def loss(t: Column) -> Column:
+        return t["role"].isin(*template.loss_roles)
 
-    def pieces(x: Column) -> Column:
-        loss = x["role"].isin(*template.loss_roles)
+    def pieces(t: Column) -> Column:
         return F.array(
-            F.struct(F.concat(F.lit(before), escape_role(x["role"]), F.lit(between)).alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(x["text"]).alias("text"), loss.alias("loss")),
+            F.struct(t["head"].alias("text"), F.lit(False).alias("loss")),
+            F.struct(t["body"].alias("text"), loss(t).alias("loss")),
             F.struct(F.lit(template.after).alias("text"), F.lit(False).alias("loss")),
         )
 
@@ -94,29 +104,37 @@ def format_chats(rows: DataFrame, template: Template = CHATML) -> DataFrame:
     first = F.struct(F.lit(template.start).alias("state"), F.lit(None).cast("int").alias("bad"), F.lit(0).alias("n"))
     x = grouped.withColumn("run", F.aggregate("turns", first, step)).withColumn("segments", F.flatten(F.transform("turns", pieces)))
 
-    def place(acc: Column, s: Column) -> Column:
-        size = F.length(s["text"])
-        here = F.array(F.struct(acc["at"].alias("start"), size.alias("length")))
-        return F.struct((acc["at"] + size).alias("at"), F.when(s["loss"], F.concat(acc["spans"], here)).otherwise(acc["spans"]).alias("spans"))
-
-    none = F.array().cast("array<struct<start:int,length:int>>")
-    spans = F.aggregate("segments", F.struct(F.lit(0).alias("at"), none.alias("spans")), place, lambda acc: acc["spans"])
+    spans = F.transform(F.filter("turns", loss), lambda t: F.struct((t["at"] + F.length(t["head"])).alias("start"), F.length(t["body"]).cast("long").alias("length")))
     ok = F.col("run.bad").isNull() & F.col("run.state").isin(*template.accepting)
     return x.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), spans.alias("loss_spans"), ok.alias("valid"), F.col("run.bad").alias("bad_turn"))
 
 
-def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
-    """``conv_id, turns array<struct<role, text>>, loss_text`` parsed from the formatted string and its spans alone."""
-    before, between = template.before.split("{role}")
-    body = F.filter(F.split("formatted", rf"\Q{template.after}\E", -1), lambda s: s != "")
-
-    def turn(s: Column) -> Column:
-        at = F.instr(s, between)
-        role = s.substr(F.lit(len(before) + 1), at - F.lit(len(before) + 1))
-        return F.struct(unescape_role(role).alias("role"), unescape(s.substr(at + F.lit(len(between)), F.length(s))).alias("text"))
+def read_back(formatted: DataFrame, template: Template = CHATML, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``conv_id, turns array<struct<role, text>>, loss_text`` parsed from the formatted string and its spans alone; one row a conversation.
 
-    loss = F.array_join(F.transform("loss_spans", lambda p: unescape(F.col("formatted").substr(p["start"] + 1, p["length"]))), "")
-    return formatted.select("*", F.transform(body, turn).alias("turns"), loss.alias("loss_text"))
+    The string is cut at the ends of turns; a turn's text is under the loss if a span starts where it does.
+    ``keep`` names scalar columns that are returned as well.
+    """
+    before, between = template.before.split("{role}")
+    none = F.lit(None)
+    cut = F.transform(
+        F.filter(F.split("formatted", rf"\Q{template.after}\E", -1), lambda s: s != ""),
+        lambda s, i: F.struct(F.lit(1).alias("kind"), i.alias("i"), s.alias("piece"), none.cast("long").alias("start")),
+    )
+    spans = F.transform("loss_spans", lambda p: F.struct(F.lit(0).alias("kind"), F.lit(-1).alias("i"), none.cast("string").alias("piece"), p["start"].alias("start")))
+    x = formatted.select("conv_id", *keep, F.explode(F.concat(cut, spans)).alias("m")).select("conv_id", *keep, "m.*")
+    own = Window.partitionBy("conv_id")
+    x = x.withColumn("head", F.instr("piece", between) + len(between) - 1)
+    begin = F.coalesce(F.sum(F.length("piece") + len(template.after)).over(own.orderBy("kind", "i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("start", F.coalesce("start", begin + F.col("head")))
+    last = F.lag(F.struct("kind", "start")).over(own.orderBy("start", "kind"))
+    x = x.withColumn("loss", F.coalesce((last["kind"] == 0) & (last["start"] == F.col("start")), F.lit(False))).where("kind = 1")
+    role = F.col("piece").substr(F.lit(len(before) + 1), F.col("head") - len(before) - len(between))
+    text = F.col("piece").substr(F.col("head") + 1, F.length("piece"))
+    x = x.select("conv_id", *keep, F.struct("i", unescape_role(role).alias("role"), unescape(text).alias("text"), "loss").alias("t"))
+    x = x.groupBy("conv_id", *keep).agg(F.sort_array(F.collect_list("t")).alias("t"))
+    turns = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return x.select("conv_id", *keep, turns.alias("turns"), F.array_join(F.transform(F.filter("t", lambda t: t["loss"]), lambda t: t["text"]), "").alias("loss_text"))
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -127,7 +145,8 @@ def probe(spark: SparkSession) -> DataFrame:
 
 
 def digest(rows: DataFrame, template: Template = CHATML) -> DataFrame:
-    back = read_back(format_chats(rows, template), template)
+    made = format_chats(rows, template).withColumn("formatted_chars", F.length("formatted").cast("long"))
+    back = read_back(made, template, ("formatted_chars", "valid"))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(NL), t["text"], F.lit(NL))), "")
     return back.select(
         "conv_id",
@@ -135,7 +154,7 @@ def digest(rows: DataFrame, template: Template = CHATML) -> DataFrame:
         F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        "formatted_chars",
         "valid",
     )
 

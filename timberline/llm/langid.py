@@ -1,8 +1,9 @@
 """Language identification by compression: one zstandard raw-content dictionary per language.
 
-Learning.  From each language up to ``SAMPLE_DOCS`` labelled documents with the smallest hash of
-their id are taken (a documented bound of the fit), at most ``SAMPLE_CHARS`` code points from each,
-and dealt in turn into a dictionary of ``DICT_BYTES``.  Nothing but text and language is kept.
+Learning.  From each language up to ``SAMPLE_DOCS`` labelled documents are taken (a documented bound of
+the fit), those of at most ``SAMPLE_CHARS`` code points first and, among them, those of the smallest hash of their
+id, and their whole texts are laid side by side until the dictionary of ``DICT_BYTES`` is full.
+Nothing but text and language is kept.
 
 Predicting.  The whole text, in lower case and with each stretch of other than letters made one
 blank (as in the dictionaries), is cut into pieces of about ``PIECE`` bytes, each compressed on its own
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-SAMPLE_DOCS = 240
+SAMPLE_DOCS = 120
 SAMPLE_CHARS = 4000
 MAX_LANGUAGES = 256
 DICT_BYTES = 96 << 10
@@ -50,19 +51,18 @@ def fold(doc_id: Column) -> Column:
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> list[tuple[str, bytes]]:
     """Dictionaries by language from ``labelled(doc_id, text, lang)``; the sample alone reaches the driver."""
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    x = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", h.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t"))
+    # a longer text than a dictionary holds is of no use beyond that
+    whole = F.substring("text", 1, dict_bytes)
+    x = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", (F.length("text") > SAMPLE_CHARS).alias("long"), h.alias("h"), whole.alias("t"))
     # the limit by group runs before the shuffle too, so a common language stays small
-    x = x.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_docs)
-    texts: dict[str, list[bytes]] = {}
-    for row in sorted(x.select("lang", "h", "t").collect()):
-        texts.setdefault(row["lang"], []).append(letters(row["t"]))
+    x = x.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "t"))).where(F.col("r") <= sample_docs)
+    texts: dict[str, bytes] = {}
+    for row in sorted(x.select("lang", "long", "h", "t").collect()):
+        held = texts.get(row["lang"], b"")
+        texts[row["lang"]] = held if len(held) >= dict_bytes else held + letters(row["t"])
     if len(texts) > MAX_LANGUAGES:
         raise ValueError(f"{len(texts)} languages; the bound is {MAX_LANGUAGES}")
-    out = []
-    for lang, parts in sorted(texts.items()):
-        share = max(256, dict_bytes // len(parts))
-        out.append((lang, b"".join(p[:share] for p in parts)[:dict_bytes]))
-    return out
+    return [(lang, raw[:dict_bytes]) for lang, raw in sorted(texts.items())]
 
 
 class Classifier:
@@ -93,28 +93,28 @@ class Classifier:
         return self.langs[best], margin / (margin + 0.02), margin
 
 
-def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], margin: float = MARGIN) -> DataFrame:
-    """All rows and columns of ``docs`` with ``lang_pred, score, margin, accepted`` (clashing names are replaced)."""
-    new = {"lang_pred": "string", "score": "double", "margin": "double", "accepted": "boolean"}
+def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], margin: float = MARGIN, prefix: str = "") -> DataFrame:
+    """All rows and columns of ``docs`` with ``lang_pred, score, margin, accepted``, each name after ``prefix`` (columns of these names are replaced)."""
+    new = {prefix + "lang_pred": "string", prefix + "score": "double", prefix + "margin": "double", prefix + "accepted": "boolean"}
     keep = [c for c in docs.columns if c not in new]
-    x = docs.select(*[F.col(f"`{c}`") for c in keep])
-    schema = StructType(list(x.schema.fields))
+    # the other columns travel as one, whatever their names
+    x = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
+    schema = StructType([x.schema["row"]])
     for name, kind in new.items():
         schema = schema.add(name, kind)
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most MAX_LANGUAGES * DICT_BYTES
-    text_at = keep.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(held.value)
         for batch in batches:
-            got = [model.predict(t.as_py()) for t in batch.column(text_at)]
+            got = [model.predict(t.as_py()) for t in batch.column(0)]
             lang, score, far = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.float64()), pa.array([f >= margin for f in far], pa.bool_())],
-                names=[*batch.schema.names, *new],
+                [batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.float64()), pa.array([f >= margin for f in far], pa.bool_())],
+                names=["row", *new],
             )
 
-    return x.mapInArrow(scan, schema)
+    return x.mapInArrow(scan, schema).select(*[F.col("row").getField(c).alias(c) for c in keep], *new)
 
 
 def languages(docs: DataFrame) -> DataFrame:

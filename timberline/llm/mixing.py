@@ -58,16 +58,17 @@ def water_fill(sources: DataFrame, max_epochs: float = MAX_EPOCHS, budget: float
     return x.select("source", "source_size", "weight", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: float = MAX_EPOCHS, budget: float = 1.0, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: float = MAX_EPOCHS, budget: float = 1.0, seed: str = SEED, carry: Sequence[str] = ()) -> DataFrame:
     """Rows ``doc_id, source, size, source_size, target, reps, taken`` for every row of ``docs(doc_id, text, source)``.
 
-    ``weights`` go to the sources by code point order (null last) and repeat.
+    ``weights`` go to the sources by code point order (null last) and repeat.  Columns named in ``carry``
+    come along and decide between rows of one id and size.
     """
     n = docs.count()
     digits = 1
     while 128 * 16**digits * CELL_ROWS < n and digits < 8:
         digits += 1
-    sized = docs.select("doc_id", F.col("source"), words(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", F.col("source"), words(F.col("text")).alias("size"), *carry)
     sized = (
         sized.withColumn("skey", F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce("source", F.lit(""))))
         .withColumn("bits", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0))
@@ -83,21 +84,29 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: float = M
     filled = water_fill(ranked.select("source", "source_size", weight.alias("weight")), max_epochs, budget).select(F.col("source").alias("skey"), "source_size", "target")
     before = Window.partitionBy("skey").orderBy("bits", "top", "hp").rowsBetween(Window.unboundedPreceding, -1)
     placed = cells.withColumn("offset", F.coalesce(F.sum("cell_n").over(before), F.lit(0))).join(filled, "skey").select(*cell, "offset", "source_size", "target")
-    at = Window.partitionBy(*cell).orderBy("h", "size")
+    at = Window.partitionBy(*cell).orderBy("h", "size", *carry)
     x = sized.join(placed, cell).withColumn("pos", F.col("offset") + F.row_number().over(at) - 1)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     x = x.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
     extra = F.floor((F.col("pos") + 1) * F.col("part") + 0.5) - F.floor(F.col("pos") * F.col("part") + 0.5)
     x = x.withColumn("reps", (F.col("whole") + extra).cast("long"))
-    return x.select("doc_id", "source", "size", "source_size", "target", "reps", (F.col("size") * F.col("reps")).alias("taken"))
+    return x.select("doc_id", "source", "size", "source_size", "target", "reps", (F.col("size") * F.col("reps")).alias("taken"), *carry)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, all their columns, each as often as it is taken."""
-    names = docs.columns
-    key = mix(docs, **options).where("reps > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("reps").alias("__reps"))
-    x = docs.join(key, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
-    return x.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__reps").cast("int")))).select(*[F.col(f"`{c}`") for c in names])
+    """The mix itself: the rows of ``docs``, all their columns, each as often as it is taken.
+
+    Rows are told apart by all their columns (two 64-bit hashes), so rows of one id or none are each
+    taken as often as ``mix`` says; equal rows share what they are taken together.
+    """
+    names, tags = docs.columns, ["__t1", "__t2"]
+    values = [x for c in names for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    tagged = docs.withColumns({t: F.xxhash64(F.lit(i), *values) for i, t in enumerate(tags)})
+    key = mix(tagged, carry=tags, **options).groupBy(*tags).agg(F.sum("reps").alias("__reps"), F.count("*").alias("__n")).where("__reps > 0")
+    # the join leaves the rows dealt and sorted by the tags, as the window wants them
+    x = tagged.join(key, tags).withColumn("__i", F.row_number().over(Window.partitionBy(*tags).orderBy(*tags)))
+    times = F.expr("cast(__reps div __n + if(__i <= __reps % __n, 1, 0) as int)")
+    return x.withColumn("__times", times).where("__times > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in names])
 
 
 ORACLE = rf"""
