@@ -113,3 +113,23 @@ def main_texts(pages, run=6, covered=0.5):
                 kept.append(t)
         out.append("\n\n".join(kept))
     return out
+
+
+def em(rows, share_good, chance, rounds):
+    """Expectation-maximisation row by row; chance[class][labeller][vote + 1], classes bad and good."""
+
+    def posterior(v):
+        good, bad = share_good, 1 - share_good
+        for k, x in enumerate(v):
+            good *= chance[1][k][x + 1]
+            bad *= chance[0][k][x + 1]
+        return good / (good + bad)
+
+    for _ in range(rounds):
+        post = [posterior(v) for v in rows]
+        new = []
+        for c in (0, 1):
+            weight = [p if c else 1 - p for p in post]
+            new.append([[(0.5 + sum(w for w, v in zip(weight, rows) if v[k] == x)) / (1.5 + sum(weight)) for x in (-1, 0, 1)] for k in range(len(rows[0]))])
+        chance, share_good = new, min(0.99, max(0.01, sum(post) / len(post)))
+    return [posterior(v) for v in rows]

@@ -384,6 +384,36 @@ def test_quality(spark):
     assert quality.classify(empty(spark)).count() == 0
 
 
+def test_label_model():
+    """Pattern counts give what expectation-maximisation row by row gives; accuracies come out as votes were drawn."""
+    rng = random.Random(13)
+    right = [0.95, 0.9, 0.7, 0.85] + [0.8] * (len(quality.LABELLERS) - 4)
+    true = [rng.random() < 0.75 for _ in range(400)]
+    rows = [[rng.choice((0, 1)) and (1 if (rng.random() < r) == t else -1) for r in right] for t in true]
+    counts = {}
+    for v in rows:
+        counts[tuple(v)] = counts.get(tuple(v), 0) + 1
+    start = quality.LabelModel({})
+    model = quality.LabelModel(counts, rounds=15)
+    assert model.posterior(rows) == pytest.approx(plain.em(rows, start.share_good, start.chance.tolist(), 15), abs=1e-6)
+    assert np.mean([(p > 0.5) == t for p, t in zip(model.posterior(rows), true)]) > 0.95
+    found = list(quality.LabelModel(counts).accuracies().values())
+    assert found[:4] == pytest.approx(right[:4], abs=0.12)
+
+
+def test_quality_edges(spark):
+    docs = edge_docs(spark)
+    once = {r["doc_id"]: r for r in quality.classify(docs).collect()}
+    twice = quality.classify(docs.union(docs)).collect()
+    assert len(twice) == 32 and all(sum(r["doc_id"] == d for r in twice) == 2 for d in once)
+    assert {r["score"] for r in twice if r["doc_id"] == 6} == {r["score"] for r in twice if r["doc_id"] == 7}
+    assert once[0]["score"] == once[1]["score"] == once[0]["posterior"] == 0 and not once[1]["keep"]
+    nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert quality.classify(nulls).count() == 16
+    a, b = quality.train(docs), quality.train(docs.repartition(3))
+    assert np.allclose(a[1].w, b[1].w)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     for t in ("documents", "benchmark", "conversations"):

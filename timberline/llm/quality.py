@@ -3,16 +3,21 @@
 Heuristic labellers look at a whole text and vote good (1), bad (-1) or nothing (0).  Expectation-
 maximisation over the counts of vote patterns (all documents; at most 3 ** labellers patterns)
 estimates, for either class, how often each labeller casts which vote, and the share of bad
-documents; so each pattern has a posterior of being good.  A logistic scorer over hashed features is
-then fitted to the posteriors of up to ``TRAIN_DOCS`` documents (chosen by hashes of
-their ids; a documented bound of the fit) and scores every document.
+documents; so each pattern has a posterior of being good.  A logistic scorer over hashed features
+(words, shapes of words, the labellers' facts in steps) is then fitted to the posteriors of up to
+``TRAIN_DOCS`` documents (chosen by hashes of their ids; a documented bound of the fit) and scores
+every document.
 
-Defined results: a null or empty text has score 0 and is not kept; equal texts have equal scores;
-an empty table gives an empty result; extra columns are ignored.
+Tables are read twice: once for the patterns and, from the sampled documents, their hashed features,
+made of the whole texts where they lie (the driver gets no text); once to score.
+
+Defined results: a null or empty text has posterior and score 0 and is not kept; equal texts, repeated
+rows included, have equal scores; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
@@ -23,34 +28,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_DOCS = 6000
-TRAIN_CHARS = 20_000
-DIMENSIONS = 1 << 14
+#: Words come first, then shapes, then steps of facts.
+WORDS, SHAPES, STEPS = 1 << 15, 1 << 10, 512
+DIMENSIONS = WORDS + SHAPES + STEPS
 KEEP = 0.5
 _ENDS = (".", "!", "?", "…", ".\"", "»")
+_RUN = re.compile(r"([^\w\s])\1\1")
+_NOT_SIGNS = re.compile(r"[\w\s.,;:'’\"“”„«»()!?¿¡…\-–—/]+")
+
+
+class _Words(dict):
+    """Of a word: its feature, its shape's feature, how many of its characters are letters, whether none is a letter or digit."""
+
+    LIMIT = 100_000
 
+    def __missing__(self, w: str) -> tuple[int, int, int, bool]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        letters = sum(map(str.isalpha, w))
+        other = "" if letters == len(w) else "".join(ch for ch in w if not ch.isalpha())[:4]
+        shape = f"{'U' if w[:1].isupper() else 'l'}{min(9, len(w) // 2)}{'d' if other.isdigit() else other}"
+        raw = w.lower().encode("utf-8", "surrogatepass")
+        v = self[w] = (crc32(raw) % WORDS, WORDS + crc32(shape.encode("utf-8", "surrogatepass")) % SHAPES, letters, not any(map(str.isalnum, w)))
+        return v
 
-def _facts(text: str) -> dict[str, float]:
+
+_words = _Words()
+
+
+def _facts(text: str, counts: Counter | None = None) -> dict[str, float]:
     w = text.split()
-    n = max(1, len(w))
-    chars = max(1, len(text))
+    n, chars = max(1, len(w)), max(1, len(text))
     lines = [x for x in text.split("\n") if x.strip()]
-    letters = sum(map(str.isalpha, text))
-    low = text.count("$") + text.count("%") + text.count("&") + text.count("#") + text.count("*") + text.count("|") + text.count("=") + text.count("{") + text.count("}") + text.count("<") + text.count("~")
-    counts = Counter(w)
+    counts = Counter(w) if counts is None else counts
+    known = [(_words[x], c) for x, c in counts.items()]
+    letters = sum(k[2] * c for k, c in known)
+    solid = sum(map(len, w))
     return {
         "n": len(w),
-        "letters": letters / max(1, chars - text.count(" ") - text.count("\n")),
-        "odd": low / n,
+        "letters": letters / max(1, solid),
+        "signs": len(_NOT_SIGNS.sub("", text)) / n,
         "same": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n,
         "distinct": len(counts) / n,
-        "top": counts.most_common(1)[0][1] / n if w else 1.0,
-        "pipes": text.count(" | ") / n,
+        "top": max(counts.values()) / n if w else 1.0,
+        "bare": sum(c for k, c in known if k[3]) / n,
         "ends": sum(x.rstrip().endswith(_ENDS) for x in lines) / max(1, len(lines)),
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
         "length": letters / n,
         "upper": sum(map(str.isupper, text)) / max(1, letters),
-        "bangs": (text.count("!!") + text.count("??")) / n,
-        "marks": sum(map(text.count, ("%%%", "$$$", "&&&", "###", "***"))) / n,
+        "runs": len(_RUN.findall(text)) / n,
         "digits": sum(map(str.isdigit, text)) / chars,
     }
 
@@ -59,40 +85,47 @@ def _vote(bad: bool, good: bool) -> int:
     return -1 if bad else 1 if good else 0
 
 
-#: Each labeller: the facts of a text to a vote.
+#: Each labeller: the facts of a text to a vote.  The limits are those of running prose in alphabetic scripts.
 LABELLERS = (
     ("letters", lambda f: _vote(f["letters"] < 0.8, f["letters"] > 0.93)),
-    ("odd", lambda f: _vote(f["odd"] > 0.25, f["odd"] < 0.02)),
+    ("signs", lambda f: _vote(f["signs"] > 0.25, f["signs"] < 0.02)),
     ("same", lambda f: _vote(f["same"] > 0.25, f["same"] < 0.02)),
     ("distinct", lambda f: _vote(f["n"] > 30 and f["distinct"] < 0.15, f["distinct"] > 0.35)),
     ("top", lambda f: _vote(f["n"] > 20 and f["top"] > 0.2, f["n"] > 20 and f["top"] < 0.12)),
-    ("pipes", lambda f: _vote(f["pipes"] > 0.15, False)),
+    ("bare", lambda f: _vote(f["bare"] > 0.15, False)),
     ("ends", lambda f: _vote(f["ends"] < 0.2, f["ends"] > 0.7)),
     ("lines", lambda f: _vote(f["lines"] > 0.5, f["lines"] < 0.1)),
     ("length", lambda f: _vote(f["length"] < 2.5 or f["length"] > 14, 3.5 < f["length"] < 8)),
     ("upper", lambda f: _vote(f["upper"] > 0.5, f["upper"] < 0.2)),
-    ("bangs", lambda f: _vote(f["bangs"] > 0.2, False)),
-    ("marks", lambda f: _vote(f["marks"] > 0.2, False)),
+    ("runs", lambda f: _vote(f["runs"] > 0.15, False)),
     ("short", lambda f: _vote(f["n"] < 3, f["n"] > 50)),
     ("digits", lambda f: _vote(f["digits"] > 0.15, f["digits"] < 0.02)),
 )
 
 
-def votes(text: str | None) -> list[int]:
+def examine(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Votes, and hashed features of the whole text: indexes and values."""
     if not text:
-        return [0] * len(LABELLERS)
-    f = _facts(text)
-    return [v(f) for _, v in LABELLERS]
+        return [0] * len(LABELLERS), np.empty(0, np.int64), np.empty(0)
+    counts = Counter(text.split())
+    f = _facts(text, counts)
+    n = max(1, len(counts))
+    word, shape = {}, {}
+    for w, c in counts.items():
+        a, b, _, _ = _words[w]
+        word[a] = 1
+        shape[b] = shape.get(b, 0) + c
+    total = max(1, sum(shape.values()))
+    keys, vals = [*word, *shape], [1 / n**0.5 / 4] * len(word) + [v / total for v in shape.values()]
+    for i, (k, v) in enumerate(sorted(f.items())):
+        if k != "n":
+            keys.append(WORDS + SHAPES + i * 20 + int(min(9, max(0, v * 10))))
+            vals.append(0.5)
+    return [v(f) for _, v in LABELLERS], np.array(keys, np.int64), np.array(vals)
 
 
-def pattern_counts(docs: DataFrame) -> dict[tuple[int, ...], int]:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = Counter("".join("-0+"[v + 1] for v in votes(t.as_py())) for t in batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["p", "n"])
-
-    rows = docs.where("length(text) > 0").select("text").mapInArrow(scan, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()
-    return {tuple("-0+".index(ch) - 1 for ch in r["p"]): r["n"] for r in rows}
+def votes(text: str | None) -> list[int]:
+    return examine(text)[0]
 
 
 class LabelModel:
@@ -133,60 +166,76 @@ class LabelModel:
         return {name: float(r / (r + w)) for (name, _), r, w in zip(LABELLERS, right, wrong, strict=True)}
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of a whole text: indexes and values, of length one together."""
-    f = _facts(text)
-    c: Counter = Counter()
-    w = text.split()
-    for word, n in Counter(w).items():
-        tail = word.lstrip("".join(ch for ch in word if ch.isalpha())) if not word.isalpha() else ""
-        shape = ("U" if word[:1].isupper() else "l") + str(min(9, len(word) // 2)) + tail[:4]
-        c["s" + shape] += n
-    n = max(1, len(w))
-    keys = [crc32(k.encode("utf-8", "surrogatepass")) % (DIMENSIONS - 512) for k in c]
-    vals = [v / n for v in c.values()]
-    for i, (k, v) in enumerate(sorted(f.items())):
-        if k != "n":
-            step = int(min(9, max(0, v * 10)))
-            keys.append(DIMENSIONS - 512 + i * 20 + step)
-            vals.append(0.5)
-    return np.array(keys, np.int64), np.array(vals)
-
-
 class Scorer:
     """Logistic regression on hashed features."""
 
     def __init__(self, weights: np.ndarray | None = None, bias: float = 0.0):
         self.w, self.b = (np.zeros(DIMENSIONS) if weights is None else weights), bias
 
-    def fit(self, texts: list[str], target: np.ndarray, epochs: int = 8, rate: float = 0.5) -> Scorer:
-        rng, xs = np.random.default_rng(0), [features(t) for t in texts]
-        square = np.full(DIMENSIONS, 1e-3)
-        for _ in range(epochs):
-            for i in rng.permutation(len(xs)):
-                k, v = xs[i]
-                g = 1 / (1 + np.exp(-(self.w[k] @ v + self.b))) - target[i]
-                np.add.at(square, k, (g * v) ** 2)
-                np.add.at(self.w, k, -rate * g * v / np.sqrt(square[k]))
-                self.b -= 0.02 * g
+    def fit(self, examples: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 300, rate: float = 0.3) -> Scorer:
+        """Adaptive gradient steps over all ``examples`` (indexes, values) at once."""
+        if not examples:
+            return self
+        keys, vals = np.concatenate([k for k, _ in examples]), np.concatenate([v for _, v in examples])
+        row = np.repeat(np.arange(len(examples)), [len(k) for k, _ in examples])
+        square, square_b = np.full(DIMENSIONS, 1e-8), 1e-8
+        for _ in range(rounds):
+            logit = np.bincount(row, self.w[keys] * vals, len(examples)) + self.b
+            g = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - target) / len(examples)
+            step = np.bincount(keys, g[row] * vals, DIMENSIONS) + 1e-6 * self.w
+            square += step * step
+            self.w -= rate * step / np.sqrt(square)
+            square_b += g.sum() ** 2
+            self.b -= rate * g.sum() / square_b**0.5
         return self
 
-    def score(self, text: str | None) -> float:
-        if not text:
-            return 0.0
-        k, v = features(text)
-        return float(1 / (1 + np.exp(-np.clip(self.w[k] @ v + self.b, -50, 50))))
+    def score(self, keys: np.ndarray, vals: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.w[keys] @ vals + self.b, -50, 50)))) if len(keys) else 0.0
 
 
-def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> tuple[LabelModel, Scorer]:
-    model = LabelModel(pattern_counts(docs))
-    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+def survey(docs: DataFrame, sample: int = TRAIN_DOCS) -> tuple[dict[tuple[int, ...], int], list[tuple[list[int], np.ndarray, np.ndarray]]]:
+    """Counts of vote patterns over all documents with a text; votes and features of those sampled, in the order of hashes of their ids."""
     some = docs.where("length(text) > 0")
+    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     # about as many as wanted by a hash of the id first, so that no task sends more than its share
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, some.count()))) < int(1.2 * sample)
-    rows = some.where(share).select(h.alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("t")).orderBy("h").limit(sample).collect()
-    texts = [r["t"] for r in rows]
-    return model, Scorer().fit(texts, model.posterior([votes(t) for t in texts]))
+    picked = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, some.count()))) < int(1.2 * sample), F.lit(False))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            seen: Counter = Counter()
+            rows: list[tuple] = []
+            for t, key, pick in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                v, keys, vals = examine(t.as_py())
+                p = "".join("-0+"[x + 1] for x in v)
+                seen[p] += 1
+                if pick:
+                    rows.append((p, 0, key, keys, vals.astype(np.float32)))
+            rows += [(p, n, None, None, None) for p, n in seen.items()]
+            cols = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["p", "n", "h", "keys", "vals"])
+
+    x = some.select("text", h.alias("h"), picked.alias("pick")).mapInArrow(scan, "p string, n long, h string, keys array<long>, vals array<float>")
+    # one row for each pattern, and one for each sampled document
+    x = x.groupBy("p", "h", "keys", "vals").agg(F.sum("n").alias("n"), F.count("*").alias("times"))
+    counts: dict[tuple[int, ...], int] = {}
+    taken = []
+    decode = lambda p: tuple("-0+".index(ch) - 1 for ch in p)
+    for batch in x.toArrow().to_batches():
+        for p, hash_, keys, vals, n, times in zip(*(batch.column(c) for c in ("p", "h", "keys", "vals", "n", "times")), strict=True):
+            if not hash_.is_valid:
+                counts[decode(p.as_py())] = n.as_py()
+            else:
+                k, v = keys.values.to_numpy(), vals.values.to_numpy().astype(float)
+                taken += [(hash_.as_py(), p.as_py(), k.tobytes(), k, v)] * times.as_py()
+    taken.sort(key=lambda x: x[:3])
+    return counts, [(list(decode(p)), k, v) for _, p, _, k, v in taken[:sample]]
+
+
+def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> tuple[LabelModel, Scorer]:
+    counts, taken = survey(docs, sample)
+    model = LabelModel(counts)
+    return model, Scorer().fit([(k, v) for _, k, v in taken], model.posterior([v for v, _, _ in taken]))
 
 
 def classify(docs: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -197,11 +246,10 @@ def classify(docs: DataFrame, keep: float = KEEP) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, s = held.value
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            post = m.posterior([votes(t) for t in texts])
-            post = np.where([bool(t) for t in texts], post, 0.0) if len(texts) else post
-            score = np.array([s.score(t) for t in texts], float)
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            seen = [examine(t.as_py()) for t in batch.column(1)]
+            post = np.where([len(k) > 0 for _, k, _ in seen], m.posterior([v for v, _, _ in seen]), 0.0)
+            score = np.array([s.score(k, v) for _, k, v in seen], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(post, pa.float64()), pa.array(score), pa.array(score >= keep)], ["doc_id", "posterior", "score", "keep"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, posterior double, score double, keep boolean")
