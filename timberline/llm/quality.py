@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -38,46 +39,58 @@ _NOT_SIGNS = re.compile(r"[\w\s.,;:'’\"“”„«»()!?¿¡…\-–—/]+")
 
 
 class _Words(dict):
-    """Of a word: its feature, its shape's feature, how many of its characters are letters, whether none is a letter or digit."""
+    """What a word adds to a text: its feature, its shape's, and how many letters, capitals, digits, signs, runs of a sign; whether it has no letter or digit."""
 
     LIMIT = 100_000
 
-    def __missing__(self, w: str) -> tuple[int, int, int, bool]:
+    def __missing__(self, w: str) -> tuple[int, int, int, int, int, int, int, int]:
         if len(self) >= self.LIMIT:
             self.clear()
-        letters = sum(map(str.isalpha, w))
-        other = "" if letters == len(w) else "".join(ch for ch in w if not ch.isalpha())[:4]
-        shape = f"{'U' if w[:1].isupper() else 'l'}{min(9, len(w) // 2)}{'d' if other.isdigit() else other}"
         raw = w.lower().encode("utf-8", "surrogatepass")
-        v = self[w] = (crc32(raw) % WORDS, WORDS + crc32(shape.encode("utf-8", "surrogatepass")) % SHAPES, letters, not any(map(str.isalnum, w)))
+        first = "U" if w[:1].isupper() else "l"
+        if w.isalpha():
+            letters, digits, signs, runs, bare, other = len(w), 0, 0, 0, 0, ""
+        else:
+            letters, digits = sum(map(str.isalpha, w)), sum(map(str.isdigit, w))
+            other = "".join(ch for ch in w if not ch.isalpha())[:4]
+            other = "d" if other.isdigit() else other
+            signs, runs, bare = len(_NOT_SIGNS.sub("", w)), len(_RUN.findall(w)), not any(map(str.isalnum, w))
+        upper = 0 if w.islower() else sum(map(str.isupper, w))
+        shape = f"{first}{min(9, len(w) // 2)}{other}".encode("utf-8", "surrogatepass")
+        v = self[w] = (crc32(raw) % WORDS, WORDS + crc32(shape) % SHAPES, letters, upper, digits, signs, runs, int(bare))
         return v
 
 
 _words = _Words()
 
 
-def _facts(text: str, counts: Counter | None = None) -> dict[str, float]:
-    w = text.split()
+def _facts(text: str, w: list[str], counts: Counter, known: list[tuple]) -> dict[str, float]:
+    """``known``: of each word of ``counts`` what it adds, and at the end how often it occurs."""
     n, chars = max(1, len(w)), max(1, len(text))
     lines = [x for x in text.split("\n") if x.strip()]
-    counts = Counter(w) if counts is None else counts
-    known = [(_words[x], c) for x, c in counts.items()]
-    letters = sum(k[2] * c for k, c in known)
-    solid = sum(map(len, w))
+    letters = upper = digits = signs = runs = bare = 0
+    for _, _, a, b, c, d, e, f, times in known:
+        letters += a * times
+        if b or a == 0 or c or d:
+            upper += b * times
+            digits += c * times
+            signs += d * times
+            runs += e * times
+            bare += f * times
     return {
         "n": len(w),
-        "letters": letters / max(1, solid),
-        "signs": len(_NOT_SIGNS.sub("", text)) / n,
-        "same": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n,
+        "letters": letters / max(1, sum(map(len, w))),
+        "signs": signs / n,
+        "same": sum(map(eq, w, w[1:])) / n,
         "distinct": len(counts) / n,
         "top": max(counts.values()) / n if w else 1.0,
-        "bare": sum(c for k, c in known if k[3]) / n,
+        "bare": bare / n,
         "ends": sum(x.rstrip().endswith(_ENDS) for x in lines) / max(1, len(lines)),
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
         "length": letters / n,
-        "upper": sum(map(str.isupper, text)) / max(1, letters),
-        "runs": len(_RUN.findall(text)) / n,
-        "digits": sum(map(str.isdigit, text)) / chars,
+        "upper": upper / max(1, letters),
+        "runs": runs / n,
+        "digits": digits / chars,
     }
 
 
@@ -107,15 +120,14 @@ def examine(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Votes, and hashed features of the whole text: indexes and values."""
     if not text:
         return [0] * len(LABELLERS), np.empty(0, np.int64), np.empty(0)
-    counts = Counter(text.split())
-    f = _facts(text, counts)
-    n = max(1, len(counts))
-    word, shape = {}, {}
-    for w, c in counts.items():
-        a, b, _, _ = _words[w]
-        word[a] = 1
-        shape[b] = shape.get(b, 0) + c
-    total = max(1, sum(shape.values()))
+    w = text.split()
+    counts = Counter(w)
+    known = [(*_words[x], c) for x, c in counts.items()]
+    f = _facts(text, w, counts, known)
+    n, total = max(1, len(counts)), max(1, len(w))
+    word, shape = {k[0] for k in known}, {}
+    for k in known:
+        shape[k[1]] = shape.get(k[1], 0) + k[8]
     keys, vals = [*word, *shape], [1 / n**0.5 / 4] * len(word) + [v / total for v in shape.values()]
     for i, (k, v) in enumerate(sorted(f.items())):
         if k != "n":
