@@ -97,20 +97,21 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], margin: flo
     """All rows and columns of ``docs`` with ``lang_pred, score, margin, accepted``, each name after ``prefix`` (columns of these names are replaced)."""
     new = {prefix + "lang_pred": "string", prefix + "score": "double", prefix + "margin": "double", prefix + "accepted": "boolean"}
     keep = [c for c in docs.columns if c not in new]
-    # the other columns travel as one, whatever their names
-    x = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
+    # the columns travel as one, whatever their names
+    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
     schema = StructType([x.schema["row"]])
     for name, kind in new.items():
         schema = schema.add(name, kind)
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most MAX_LANGUAGES * DICT_BYTES
+    text_at = keep.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(held.value)
-        for batch in batches:
-            got = [model.predict(t.as_py()) for t in batch.column(0)]
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            got = [model.predict(t.as_py()) for t in batch.column(0).field(text_at)]
             lang, score, far = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.float64()), pa.array([f >= margin for f in far], pa.bool_())],
+                [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.float64()), pa.array([f >= margin for f in far], pa.bool_())],
                 names=["row", *new],
             )
 
