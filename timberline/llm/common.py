@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -103,6 +104,44 @@ def likely(rows: DataFrame, col: str, wanted: DataFrame, key: str) -> DataFrame:
     return seen.where(F.expr(f"__m & {bit} <> 0")).select(*rows.columns)
 
 
+#: What a worker process keeps from task to task, by operator.
+_memories: dict[str, object] = {}
+
+
+def memory(name: str, make: Callable[[], object]) -> object:
+    """Inside a task: the worker process's object of this name, kept for its next tasks."""
+    if name not in _memories:
+        _memories[name] = make()
+    return _memories[name]
+
+
+def forget(keep: str | None) -> None:
+    """Inside a task: drop what the worker process keeps for other operators."""
+    for name in [n for n in _memories if n != keep]:
+        del _memories[name]
+
+
+def hand_back() -> None:
+    """Inside a task: give memory that is free back to the system; idle workers stay, and with them what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def frugal(scan: Callable, keeps: str | None = None) -> Callable:
+    """A scan for ``mapInArrow`` whose worker keeps no other operator's memory and hands back what is free at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
+        try:
+            yield from scan(batches)
+        finally:
+            hand_back()
+
+    return run
+
+
 def press(rows: DataFrame) -> DataFrame:
     """Of ``rows(key, text, ...)``: ``key, z, ...``, the texts as compressed UTF-8 for their way through shuffles."""
     others = [f for f in rows.schema.fields if f.name not in ("key", "text")]
@@ -114,7 +153,7 @@ def press(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), z, *batch.columns[2:]], ["key", "z", *batch.schema.names[2:]])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return rows.select("key", "text", *[f.name for f in others]).mapInArrow(scan, f"key {rows.schema['key'].dataType.simpleString()}, z binary{', ' + kinds if kinds else ''}")
+    return rows.select("key", "text", *[f.name for f in others]).mapInArrow(frugal(scan), f"key {rows.schema['key'].dataType.simpleString()}, z binary{', ' + kinds if kinds else ''}")
 
 
 def unpress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 WIDTH = 10
 #: Bytes of item text in one part.
 PART_BYTES = 8 << 20
@@ -132,7 +134,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
                     ["doc_id", "row", "n_words", "ranges", "items"],
                 )
 
-        return keyed.mapInArrow(scan, schema)
+        return keyed.mapInArrow(frugal(scan), schema)
 
     if len(parts) == 1:
         return one(parts[0]).drop("row")

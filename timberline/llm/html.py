@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import frugal, settle
 
 RUN = 6
 COVERED = 0.5
@@ -203,7 +203,7 @@ def parse(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(zs, pa.binary()), pa.array(loose, pa.int64()), pa.array(ask, pa.bool_())], ["page_id", "url", "z", "loose", "ask"])
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
-    x = pages.select("page_id", "url", "html").mapInArrow(scan, f"page_id {kind}, url string, z binary, loose long, ask boolean")
+    x = pages.select("page_id", "url", "html").mapInArrow(frugal(scan), f"page_id {kind}, url string, z binary, loose long, ask boolean")
     return x.withColumn("host", host)
 
 
@@ -220,7 +220,7 @@ def host_runs(parsed: DataFrame, run: int = RUN, chunk: int = CHUNK) -> DataFram
             cols = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), *[pa.int64()] * 3), strict=True)], ["host", "h", "lo", "hi"])
 
-    runs = parsed.select("host", "loose", "z").mapInArrow(arrays, "host string, h long, lo long, hi long")
+    runs = parsed.select("host", "loose", "z").mapInArrow(frugal(arrays), "host string, h long, lo long, hi long")
     return runs.groupBy("host", "h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("host", "h")
 
 
@@ -239,7 +239,7 @@ def covered_blocks(parsed: DataFrame, repeated: DataFrame, run: int = RUN, cover
             cols = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["host", "h", "row", "i", "j", "n"])
 
-    at = parsed.select("row", "host", "z").mapInArrow(mark, "host string, h long, row long, i int, j int, n int")
+    at = parsed.select("row", "host", "z").mapInArrow(frugal(mark), "host string, h long, row long, i int, j int, n int")
     # tokens of a block inside repeated runs: the length of the union of [j, j + run)
     hits = at.join(repeated, ["host", "h"]).groupBy("row", "i").agg(F.array_sort(F.collect_set("j")).alias("js"), F.max("n").alias("n"))
     union = F.aggregate("js", F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), lambda acc, j: F.struct((j + run).alias("end"), (acc["sum"] + (j + run) - F.greatest(acc["end"], j)).alias("sum")), lambda acc: acc["sum"])
@@ -267,5 +267,5 @@ def extract(pages: DataFrame, run: int = RUN, covered: float = COVERED, chunk: i
 
     told = asked.join(gone, "row", "left").select("page_id", "url", "z", "gone")
     clear = parsed.where("not ask").select("page_id", "url", "z", F.lit(None).cast("array<int>").alias("gone"))
-    kept = told.union(clear).mapInArrow(keep, f"page_id {kind}, url string, text string")
+    kept = told.union(clear).mapInArrow(frugal(keep), f"page_id {kind}, url string, text string")
     return kept.withColumn("n_chars", F.length("text").cast("long"))

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from .common import frugal
+
 SAMPLE_DOCS = 120
 SAMPLE_CHARS = 4000
 MAX_LANGUAGES = 256
@@ -115,7 +117,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], margin: flo
                 names=["row", *new],
             )
 
-    return x.mapInArrow(scan, schema).select(*[F.col("row").getField(c).alias(c) for c in keep], *new)
+    return x.mapInArrow(frugal(scan), schema).select(*[F.col("row").getField(c).alias(c) for c in keep], *new)
 
 
 def languages(docs: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, likely, press, settle, unpress
+from .common import components, discard, frugal, likely, press, settle, unpress
 
 WIDTH = 3
 NUM, DEN = 90, 100
@@ -116,7 +116,7 @@ def common_shingles(docs: DataFrame, width: int = WIDTH, most: int = COMMON) ->
                     size = 0
         yield counted()
 
-    top = docs.select("text").mapInArrow(scan, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(most).toArrow()
+    top = docs.select("text").mapInArrow(frugal(scan), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(most).toArrow()
     s = top.column("s").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(s)
     return s[order], top.column("n").to_numpy().astype(np.int64)[order]
@@ -155,7 +155,7 @@ def build_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], width: in
                 ps.append(ordered_prefix(s, held.value, num, den).view(np.int64) if len(s) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(vs, pa.int64()), pa.array(ps, pa.list_(pa.int64()))], ["doc_id", "n", "v", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n long, v long, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(frugal(scan), f"doc_id {kind}, n long, v long, prefix array<bigint>")
 
 
 def size_class(num: int, den: int):
@@ -249,7 +249,7 @@ def keys_of(prefixes: DataFrame, boundary: int, num: int, den: int) -> DataFrame
                     made = 0
             yield made_keys()
 
-    return prefixes.select("v", "n", "at", "q").mapInArrow(scan, "key long, v long, n long, r int")
+    return prefixes.select("v", "n", "at", "q").mapInArrow(frugal(scan), "key long, v long, n long, r int")
 
 
 def _alike(a: str, b: str, num: int, den: int):
@@ -287,7 +287,7 @@ def plausible(pairs: DataFrame, vertices: DataFrame, num: int, den: int) -> Data
 
     v = vertices.select("v", "n", "prefix")
     x = pairs.join(likely(v, "v", pairs, "a").toDF("a", "na", "pa"), "a").join(likely(v, "v", pairs, "b").toDF("b", "nb", "pb"), "b").where(_alike("na", "nb", num, den))
-    return x.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(scan, "a long, b long")
+    return x.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(frugal(scan), "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -308,7 +308,7 @@ def verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, num: i
 
     texts = press(likely(docs.select("doc_id", "text"), "doc_id", named, "doc_id").withColumnRenamed("doc_id", "key"))
     texts = texts.join(named, F.col("key").eqNullSafe(F.col("doc_id"))).select("v", "z")
-    sets = texts.mapInArrow(scan, "v long, got long, s binary").where("v = got").select("v", "s")
+    sets = texts.mapInArrow(frugal(scan), "v long, got long, s binary").where("v = got").select("v", "s")
     sets = settle(sets, "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +321,7 @@ def verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, num: i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
-    links = settle(x.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
+    links = settle(x.select("a", "b", "sa", "sb").mapInArrow(frugal(compare), "a long, b long"), "links")
     discard(sets, named)
     return links
 

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 TRAIN_DOCS = 6000
 #: Words come first, then shapes, then steps of facts.
 WORDS, SHAPES, STEPS = 1 << 15, 1 << 10, 512
@@ -39,44 +41,54 @@ _NOT_SIGNS = re.compile(r"[\w\s.,;:'’\"“”„«»()!?¿¡…\-–—/]+")
 
 
 class _Words(dict):
-    """What a word adds to a text: its feature, its shape's, and how many letters, capitals, digits, signs, runs of a sign; whether it has no letter or digit."""
+    """What a word adds to a text: its feature, its shape's, how many letters; and, unless it is of small letters only, how many capitals, digits, signs, runs of a sign, and whether it has no letter or digit."""
 
-    LIMIT = 100_000
+    LIMIT = 200_000
 
-    def __missing__(self, w: str) -> tuple[int, int, int, int, int, int, int, int]:
+    def __missing__(self, w: str) -> tuple[int, int, int, tuple[int, int, int, int, int] | None]:
         if len(self) >= self.LIMIT:
             self.clear()
-        raw = w.lower().encode("utf-8", "surrogatepass")
-        first = "U" if w[:1].isupper() else "l"
         if w.isalpha():
-            letters, digits, signs, runs, bare, other = len(w), 0, 0, 0, 0, ""
+            if w.islower():
+                v = self[w] = (crc32(w.encode()) % WORDS, _SHAPE["l", len(w) // 2, ""], len(w), None)
+                return v
+            letters, other, more = len(w), "", (sum(map(str.isupper, w)), 0, 0, 0, 0)
         else:
             letters, digits = sum(map(str.isalpha, w)), sum(map(str.isdigit, w))
-            other = "".join(ch for ch in w if not ch.isalpha())[:4]
+            other = "".join([ch for ch in w if not ch.isalpha()])[:4]
             other = "d" if other.isdigit() else other
-            signs, runs, bare = len(_NOT_SIGNS.sub("", w)), len(_RUN.findall(w)), not any(map(str.isalnum, w))
-        upper = 0 if w.islower() else sum(map(str.isupper, w))
-        shape = f"{first}{min(9, len(w) // 2)}{other}".encode("utf-8", "surrogatepass")
-        v = self[w] = (crc32(raw) % WORDS, WORDS + crc32(shape) % SHAPES, letters, upper, digits, signs, runs, int(bare))
+            upper = 0 if w.islower() else sum(map(str.isupper, w))
+            more = (upper, digits, len(_NOT_SIGNS.sub("", w)), len(_RUN.findall(w)), int(not any(map(str.isalnum, w))))
+        shape = _SHAPE["U" if w[:1].isupper() else "l", len(w) // 2, other]
+        v = self[w] = (crc32(w.lower().encode("utf-8", "surrogatepass")) % WORDS, shape, letters, more)
+        return v
+
+
+class _Shapes(dict):
+    def __missing__(self, key: tuple[str, int, str]) -> int:
+        if len(self) >= 10_000:
+            self.clear()
+        v = self[key] = WORDS + crc32(f"{key[0]}{min(9, key[1])}{key[2]}".encode("utf-8", "surrogatepass")) % SHAPES
         return v
 
 
-_words = _Words()
+_words, _SHAPE = _Words(), _Shapes()
 
 
 def _facts(text: str, w: list[str], counts: Counter, known: list[tuple]) -> dict[str, float]:
-    """``known``: of each word of ``counts`` what it adds, and at the end how often it occurs."""
+    """``known``: of each word of ``counts`` what it adds and how often it occurs."""
     n, chars = max(1, len(w)), max(1, len(text))
     lines = [x for x in text.split("\n") if x.strip()]
     letters = upper = digits = signs = runs = bare = 0
-    for _, _, a, b, c, d, e, f, times in known:
-        letters += a * times
-        if b or a == 0 or c or d:
-            upper += b * times
-            digits += c * times
-            signs += d * times
-            runs += e * times
-            bare += f * times
+    for k, times in known:
+        letters += k[2] * times
+        more = k[3]
+        if more:
+            upper += more[0] * times
+            digits += more[1] * times
+            signs += more[2] * times
+            runs += more[3] * times
+            bare += more[4] * times
     return {
         "n": len(w),
         "letters": letters / max(1, sum(map(len, w))),
@@ -85,7 +97,7 @@ def _facts(text: str, w: list[str], counts: Counter, known: list[tuple]) -> dict
         "distinct": len(counts) / n,
         "top": max(counts.values()) / n if w else 1.0,
         "bare": bare / n,
-        "ends": sum(x.rstrip().endswith(_ENDS) for x in lines) / max(1, len(lines)),
+        "ends": sum([x.rstrip().endswith(_ENDS) for x in lines]) / max(1, len(lines)),
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
         "length": letters / n,
         "upper": upper / max(1, letters),
@@ -116,28 +128,31 @@ LABELLERS = (
 )
 
 
-def examine(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Votes, and hashed features of the whole text: indexes and values."""
+def examine(text: str | None, features: bool = True) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Votes, and hashed features of the whole text if they are wanted: indexes and values."""
     if not text:
         return [0] * len(LABELLERS), np.empty(0, np.int64), np.empty(0)
     w = text.split()
     counts = Counter(w)
-    known = [(*_words[x], c) for x, c in counts.items()]
+    known = list(zip(map(_words.__getitem__, counts), counts.values()))
     f = _facts(text, w, counts, known)
+    cast = [v(f) for _, v in LABELLERS]
+    if not features:
+        return cast, np.empty(0, np.int64), np.empty(0)
     n, total = max(1, len(counts)), max(1, len(w))
-    word, shape = {k[0] for k in known}, {}
-    for k in known:
-        shape[k[1]] = shape.get(k[1], 0) + k[8]
+    word, shape = {k[0] for k, _ in known}, {}
+    for k, c in known:
+        shape[k[1]] = shape.get(k[1], 0) + c
     keys, vals = [*word, *shape], [1 / n**0.5 / 4] * len(word) + [v / total for v in shape.values()]
     for i, (k, v) in enumerate(sorted(f.items())):
         if k != "n":
             keys.append(WORDS + SHAPES + i * 20 + int(min(9, max(0, v * 10))))
             vals.append(0.5)
-    return [v(f) for _, v in LABELLERS], np.array(keys, np.int64), np.array(vals)
+    return cast, np.array(keys, np.int64), np.array(vals)
 
 
 def votes(text: str | None) -> list[int]:
-    return examine(text)[0]
+    return examine(text, features=False)[0]
 
 
 class LabelModel:
@@ -217,7 +232,7 @@ def survey(docs: DataFrame, sample: int = TRAIN_DOCS) -> tuple[dict[tuple[int, .
             seen: Counter = Counter()
             rows: list[tuple] = []
             for t, key, pick in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                v, keys, vals = examine(t.as_py())
+                v, keys, vals = examine(t.as_py(), bool(pick))
                 p = "".join("-0+"[x + 1] for x in v)
                 seen[p] += 1
                 if pick:
@@ -227,7 +242,7 @@ def survey(docs: DataFrame, sample: int = TRAIN_DOCS) -> tuple[dict[tuple[int, .
             kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["p", "n", "h", "keys", "vals"])
 
-    x = some.select("text", h.alias("h"), picked.alias("pick")).mapInArrow(scan, "p string, n long, h string, keys array<long>, vals array<float>")
+    x = some.select("text", h.alias("h"), picked.alias("pick")).mapInArrow(frugal(scan), "p string, n long, h string, keys array<long>, vals array<float>")
     # one row for each pattern, and one for each sampled document
     x = x.groupBy("p", "h", "keys", "vals").agg(F.sum("n").alias("n"), F.count("*").alias("times"))
     counts: dict[tuple[int, ...], int] = {}
@@ -264,4 +279,4 @@ def classify(docs: DataFrame, keep: float = KEEP) -> DataFrame:
             score = np.array([s.score(k, v) for _, k, v in seen], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(post, pa.float64()), pa.array(score), pa.array(score >= keep)], ["doc_id", "posterior", "score", "keep"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, posterior double, score double, keep boolean")
+    return docs.select("doc_id", "text").mapInArrow(frugal(scan), f"doc_id {kind}, posterior double, score double, keep boolean")

@@ -36,6 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
 from .decontam import split_words
 
 CHAIN = 2
@@ -95,7 +96,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(spots(t.as_py())) for t in batch.column(1)], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return docs.select("doc_id", "text").mapInArrow(frugal(scan), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 def spot_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -110,7 +111,7 @@ def spot_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "s"])
 
     one = prints.where("fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("id")).select("id", "fingerprint")
-    x = one.mapInArrow(unpack, f"id {prints.schema['doc_id'].dataType.simpleString()}, n int, s array<bigint>")
+    x = one.mapInArrow(frugal(unpack), f"id {prints.schema['doc_id'].dataType.simpleString()}, n int, s array<bigint>")
     cut = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
     x = x.withColumn("cut", cut)
     prefix = F.col("n") - F.ceil(F.col("n") * num / F.lit(10_000)).cast("int") + 1
@@ -164,7 +165,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
                 ["part", "guest", "key", "doc_id", "z"],
             )
 
-    x = docs.select("doc_id", "text").mapInArrow(scan, f"part int, guest int, key long, doc_id {kind}, z binary")
+    x = docs.select("doc_id", "text").mapInArrow(frugal(scan), f"part int, guest int, key long, doc_id {kind}, z binary")
     return x.repartitionById(len(limits) + 1, "part").sortWithinPartitions("part", "guest", F.desc("key"), "z")
 
 
@@ -196,4 +197,4 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
             kinds = (batch.schema.field(3).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return neighbours(docs).mapInArrow(scan, schema)
+    return neighbours(docs).mapInArrow(frugal(scan), schema)

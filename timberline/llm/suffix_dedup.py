@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import press, settle, unpress
+from .common import frugal, press, settle, unpress
 
 WIDTH = 100
 Q = 40
@@ -252,7 +252,7 @@ def common_anchors(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], ["a", "c"])
 
     some = docs.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE_EVERY)) == 0).select("key", "text")
-    top = some.mapInArrow(scan, "a long, c long").groupBy("a").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON).orderBy(F.desc("c"), "a").limit(MOST_COMMON).toArrow()
+    top = some.mapInArrow(frugal(scan), "a long, c long").groupBy("a").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON).orderBy(F.desc("c"), "a").limit(MOST_COMMON).toArrow()
     return np.sort(top.column("a").to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -274,7 +274,7 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
             packed = (first << 9) | (hot.astype(np.int64) << 8) | (more << 1) | here
             yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(refined.view(np.int64)), pa.array(doc), pa.array(packed)], ["a", "b", "doc", "sp"])
 
-    x = docs.select("key", "text").mapInArrow(scan, "a long, b long, doc long, sp long")
+    x = docs.select("key", "text").mapInArrow(frugal(scan), "a long, b long, doc long, sp long")
     bucket = Window.partitionBy("a")
     x = x.withColumn("mixed", (F.min("b").over(bucket) != F.max("b").over(bucket)) | (F.col("sp").bitwiseAND(F.lit(256)) != 0))
     refined = Window.partitionBy("a", "b").orderBy("doc", "sp")
@@ -318,7 +318,7 @@ def repeated_windows(pressed: DataFrame, ranges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate((doc[rest], doc[head]))), pa.array(packed)], ["a", "doc", "sp"])
 
     opened = ranges.where(F.exists("ranges", lambda r: r.bitwiseAND(F.lit(1)) == 1))
-    x = pressed.join(opened, pressed["key"] == opened["doc"]).select("key", "z", "ranges").mapInArrow(scan, "a long, doc long, sp long")
+    x = pressed.join(opened, pressed["key"] == opened["doc"]).select("key", "z", "ranges").mapInArrow(frugal(scan), "a long, doc long, sp long")
     # dealt by the first identifier, compared by both
     x = x.repartition("a").withColumn("b", F.col("sp").bitwiseAND(F.lit(0xFFFFFFFF)))
     order = Window.partitionBy("a", "b").orderBy("doc", "sp")
@@ -371,4 +371,4 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(4), *made], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     x = pressed.join(ranges.withColumnRenamed("doc", "key"), "key", "left").join(windows.withColumnRenamed("doc", "key"), "key", "left")
-    return x.select("key", "z", "ranges", "windows", "doc_id").mapInArrow(scan, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return x.select("key", "z", "ranges", "windows", "doc_id").mapInArrow(frugal(scan), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")

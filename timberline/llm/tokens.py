@@ -24,7 +24,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch
+from .common import frugal, memory, scratch
 
 MAGIC = b"IDMIX001"
 VOCABULARY = 49408
@@ -310,10 +309,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
-@lru_cache(1)
 def _words(path: str) -> WordIds:
     """One memory for each worker process, kept from task to task."""
-    return WordIds(path)
+    return memory(f"words of {path}", lambda: WordIds(path))
 
 
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
@@ -363,7 +361,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
         flush()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
 
-    ordered.mapInArrow(scan, "name string").count()
+    ordered.mapInArrow(frugal(scan, f"words of {tokenizer}"), "name string").count()
 
 
 def read_ids(docs_schema_id: str, spark, folder: str) -> DataFrame:
@@ -395,8 +393,8 @@ def read_ids(docs_schema_id: str, spark, folder: str) -> DataFrame:
 
     # one row for each file, which holds millions of ids
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.mapInArrow(heads, "path string, ids long").select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("offset"))
-    rows = files.mapInArrow(scan, "path string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    offsets = files.mapInArrow(frugal(heads), "path string, ids long").select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("offset"))
+    rows = files.mapInArrow(frugal(scan), "path string, doc_id long, at long, n_tokens long, ids_crc32 long")
     joined = rows.join(offsets, "path")
     return joined.select(F.col("doc_id").cast(docs_schema_id).alias("doc_id"), (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
