@@ -54,6 +54,39 @@ def shape(value: Column) -> Column:
     return F.regexp_replace(value, "[0-9A-Za-z]+", "V")
 
 
+def shape_masks(value: Column) -> Column:
+    """The shape with the class mask of each run: ``<V,17>-<V,1>``; a blank is written ``<-1>``."""
+    runs = F.regexp_extract_all(value, F.lit("[0-9A-Za-z]+|[^0-9A-Za-z]"), F.lit(0))
+    written = lambda r: F.when(r.rlike("^[0-9A-Za-z]"), F.concat(F.lit("<V,"), class_mask(r).cast("string"), F.lit(">"))).when(r == " ", "<-1>").otherwise(r)
+    return F.array_join(F.transform(runs, written), "")
+
+
+def trimmed(value: Column) -> Column:
+    return F.regexp_replace(value, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+
+
+def number(value: Column, kind: str) -> Column:
+    """A whole text as ``int``, ``long`` or ``double``; null if it is none."""
+    return F.when(value.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$" if kind == "double" else r"^[+-]?[0-9]+$"), value.try_cast(kind))
+
+
+def piece(value: Column, start: int, length: int) -> Column:
+    """``length`` characters from ``start``, counted from 0."""
+    return F.substring(value, start + 1, length)
+
+
+def hash31(value: Column) -> Column:
+    """Polynomial hash of the UTF-8 bytes, base 131, 31 bits (fixed values)."""
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(value)), lambda i: F.conv(F.hex(F.substring(value.cast("binary"), i, F.lit(1))), 16, 10).cast("long"))
+    folded = F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: (acc * 131 + c).bitwiseAND(F.lit(0x7FFFFFFF)))
+    return F.when(value == "", F.lit(0).cast("long")).otherwise(folded)
+
+
+def place(values: Column, wanted: Column) -> Column:
+    """Where ``wanted`` first stands in an array, from 0; -1 if nowhere."""
+    return F.array_position(values, wanted).cast("int") - 1
+
+
 def segment_kind(token: Column) -> Column:
     return F.when(is_delimiter(token), "delimiter").when(token.rlike(r"^<V[0-9]+>$"), "variable").otherwise("constant")
 

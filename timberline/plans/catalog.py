@@ -21,6 +21,11 @@ def column_list(store: Store, eid: int) -> DataFrame:
     return store.columns.where(F.col("eid") == eid).orderBy("var_idx")
 
 
-def column_values(store: Store, eid: int, var_idx: int, containing: str | None = None) -> DataFrame:
-    x = store.rows.where(F.col("eid") == eid).select("line_no", F.get("vars", F.lit(var_idx)).alias("value"))
-    return x if containing is None else x.where(F.col("value").contains(containing))
+def column_values(store: Store, eid: int, var_idx: int, containing: str | None = None, mode: str = "any") -> DataFrame:
+    """``line_no, value`` of one variable, read alone; ``mode`` says where ``containing`` stands in a value (full, left, right, any)."""
+    x = store.values(eid, var_idx)
+    return x if containing is None else x.where(mining.aligned(F.col("value"), containing, mode))
+
+
+def column_values_in(store: Store, eid: int, var_idx: int, wanted: list[str]) -> DataFrame:
+    return store.values(eid, var_idx).where(F.col("value").isin(wanted))

@@ -60,6 +60,30 @@ class Regex:
         return line.rlike(self.pattern)
 
 
+@dataclass(frozen=True)
+class Token:
+    """A word of the line, whole."""
+
+    word: str
+
+    def column(self, line: Column) -> Column:
+        if not re.fullmatch(WORD, self.word):
+            raise QueryError("a token has no delimiter in it")
+        return line.contains(self.word) & line.rlike(f"(^|[ \t:=,]){re.escape(self.word)}([ \t:=,]|$)")
+
+
+@dataclass(frozen=True)
+class Common:
+    """Lines that have ``least`` characters in a row in common with a text."""
+
+    text: str
+    least: int
+
+    def column(self, line: Column) -> Column:
+        parts = dict.fromkeys(self.text[i : i + self.least] for i in range(len(self.text) - self.least + 1))
+        return reduce(Column.__or__, [line.contains(p) for p in parts], F.lit(False))
+
+
 @dataclass(frozen=True)
 class Not:
     child: object
@@ -131,5 +155,10 @@ def parse(text: str):
     return clauses[0] if len(clauses) == 1 else And(tuple(clauses))
 
 
+def read(text: str, kind: str = "l"):
+    """A query by kind: ``l`` logic, ``m`` one phrase or wildcard, ``reg`` a regular expression, ``t`` a whole token."""
+    return {"l": parse, "m": Phrase, "reg": Regex, "t": Token}[kind](text)
+
+
 def matches(text: str, line: Column) -> Column:
     return parse(text).column(line)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import mining, rowsets
 from .plans import catalog
-from .plans.query import Regex
+from .plans.query import Common, Regex
 from .plans.search import LIMIT, scan, search
 from .sources import store
 from .sources.corpus import CORPORA
@@ -26,10 +26,10 @@ ORDERS = """SELECT o_orderkey // 2500 AS block_id, o_orderkey AS line_no, 'order
 
 
 def _pieces(table: str, key: str, col: str) -> str:
-    return f"SELECT k AS block_id, k * 100000 + i - 1 AS line_no, line FROM (SELECT {key} AS k, unnest(string_split({col}, chr(10))) AS line, unnest(generate_series(1, len(string_split({col}, chr(10))))) AS i FROM {table})"
+    return f"SELECT k AS block_id, k * 10000000 + i - 1 AS line_no, line FROM (SELECT {key} AS k, unnest(string_split({col}, chr(10))) AS line, unnest(generate_series(1, len(string_split({col}, chr(10))))) AS i FROM {table})"
 
 
-LINES = {"events": EVENTS, "orders": ORDERS, "docs": _pieces("documents", "doc_id", "text"), "conversations": _pieces("conversations", "conv_id * 1000 + turn", "text"), "pages": _pieces("pages", "page_id", "html")}
+LINES = {"events": EVENTS, "orders": ORDERS, "docs": _pieces("documents", "doc_id", "text"), "conversations": _pieces("conversations", "conv_id * 100000 + turn", "text"), "pages": _pieces("pages", "page_id", "html")}
 
 
 def _add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -193,7 +193,7 @@ def _outlier_lines(s: SparkSession, d: str) -> DataFrame:
 @_add("q35_rebuilt", f"SELECT line_no, line AS rebuilt FROM ({LINES['events']})")
 def _rebuilt(s: SparkSession, d: str) -> DataFrame:
     lines, t = _mined(s, d, "events", True)
-    return mining.rebuild(mining.match(lines, t), t).select("line_no", "rebuilt")
+    return mining.rebuild(mining.match(lines, mining.with_pieces(t), ("pieces",)), t).select("line_no", "rebuilt")
 
 
 @_add(
@@ -202,7 +202,7 @@ def _rebuilt(s: SparkSession, d: str) -> DataFrame:
 bit_or({_mask_sql('value')}) AS char_mask, min(length(value)) AS min_len, max(length(value)) AS max_len FROM v GROUP BY eid, var_idx""",
 )
 def _column_kinds(s: SparkSession, d: str) -> DataFrame:
-    return mining.column_meta(mining.values(mining.match(*_mined(s, d, "events")))).drop("pattern")
+    return mining.column_meta(mining.values(mining.match(*_mined(s, d, "events")))).drop("prefix", "suffix", "pattern")
 
 
 DICTIONARY_SQL = r"""e AS (SELECT eid, var_idx, value, count(*) AS n, min(line_no) AS first_line, regexp_replace(value, '[0-9A-Za-z]+', 'V', 'g') AS shape FROM v GROUP BY ALL),
@@ -252,6 +252,8 @@ for _name, _f, _where in (
 
 def _store(s: SparkSession, d: str, corpus: str) -> store.Store:
     given = s.conf.get("spark.checkpoint.dir", None)
+    if not given and not s.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = f"{given}/store-{corpus}-{uuid.uuid4().hex}" if given else tempfile.mkdtemp(prefix="timberline-store-")
     store.write(CORPORA[corpus](s, d), folder)
     return store.Store(s, folder)
@@ -277,7 +279,21 @@ def _values_like(s: SparkSession, d: str) -> DataFrame:
     return catalog.column_values(_store(s, d, "orders"), 0, 1, "7")
 
 
-@_add("q49_column_list")
+#: Statistics of columns, with what all values of a column share at their ends.
+META_SQL = f"""c0 AS (SELECT eid, var_idx, count(*) AS n_values, count(DISTINCT value) AS n_distinct, bit_or({_mask_sql('value')}) AS char_mask, min(length(value)) AS min_len, max(length(value)) AS max_len,
+  min(value) AS lo, max(value) AS hi, min(reverse(value)) AS rlo, max(reverse(value)) AS rhi FROM v GROUP BY eid, var_idx),
+c1 AS (SELECT *, CASE WHEN n_values < 100 THEN 'V' WHEN n_distinct < n_values * 0.5 THEN 'D' ELSE 'S' END AS kind,
+  left(lo, list_max(list_filter(generate_series(0, least(length(lo), length(hi))), lambda i: left(lo, i) = left(hi, i)))) AS prefix,
+  reverse(left(rlo, list_max(list_filter(generate_series(0, least(length(rlo), length(rhi))), lambda i: left(rlo, i) = left(rhi, i))))) AS tail FROM c0),
+meta AS (SELECT * EXCLUDE tail, CASE WHEN lo <> hi AND length(prefix) + length(tail) <= min_len THEN tail ELSE '' END AS suffix FROM c1)"""
+_FITS = "starts_with(value, prefix) AND ends_with(value, suffix) AND length(value) >= length(prefix) + length(suffix)"
+
+
+@_add(
+    "q49_column_list",
+    f"""{_mined_sql('orders')}, {META_SQL} SELECT eid, var_idx, kind, n_values, n_distinct, char_mask, min_len, max_len, prefix, suffix,
+CASE WHEN lo = hi THEN lo ELSE prefix || '<*>' || suffix END AS pattern FROM meta WHERE eid = 0""",
+)
 def _column_list(s: SparkSession, d: str) -> DataFrame:
     return catalog.column_list(_store(s, d, "orders"), 0)
 
@@ -303,6 +319,121 @@ def _scalars(s: SparkSession, d: str) -> DataFrame:
     return CORPORA["orders"](s, d).select("line_no", F.get(w, F.lit(0)).alias("first_word"), X.lenient_int(F.get(w, F.lit(2))).alias("third"), X.is_ipv4(F.get(w, F.lit(2))).alias("ip"))
 
 
+@_add("q54_reservoir", f"SELECT block_id, line_no, line FROM ({EVENTS}) ORDER BY md5('r1:' || block_id || ':' || line_no), block_id, line_no LIMIT 50")
+def _reservoir(s: SparkSession, d: str) -> DataFrame:
+    return mining.reservoir(CORPORA["events"](s, d), 50)
+
+
+@_add("q55_sample_ratio", f"SELECT {SKELETON_SQL} AS skeleton, count(*) AS n_rows, count(*) FILTER (WHERE line_no % 100 = 1) AS n_sampled, count(*) FILTER (WHERE line_no % 100 = 1) / count(*) AS ratio FROM ({ORDERS}) GROUP BY 1")
+def _sample_ratio(s: SparkSession, d: str) -> DataFrame:
+    return mining.sample_ratio(CORPORA["orders"](s, d))
+
+
+_HASH_SQL = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: (a * 131 + b) & 2147483647)"
+
+
+@_add(
+    "q56_conversions",
+    f"""SELECT line_no, trim(' ' || w[3] || ' ') AS trimmed, CASE WHEN regexp_matches(w[6], '^[+-]?[0-9]+$') THEN w[6]::BIGINT END AS as_long, try_cast(w[8] AS DOUBLE) AS as_double,
+substr(w[3], 2, 3) AS piece, {_HASH_SQL.format('w[3]')} AS hash, coalesce(list_position(w, 'user'), 0)::INTEGER - 1 AS place FROM (SELECT line_no, {WORDS_SQL} AS w FROM ({EVENTS}))""",
+)
+def _conversions(s: SparkSession, d: str) -> DataFrame:
+    w = CORPORA["events"](s, d).select("line_no", X.words(F.col("line")).alias("w"))
+    at = lambda i: F.get("w", F.lit(i))
+    return w.select(
+        "line_no", X.trimmed(F.concat(F.lit(" "), at(2), F.lit(" "))).alias("trimmed"), X.number(at(5), "long").alias("as_long"), X.number(at(7), "double").alias("as_double"),
+        X.piece(at(2), 1, 3).alias("piece"), X.hash31(at(2)).alias("hash"), X.place(F.col("w"), F.lit("user")).alias("place"),
+    )
+
+
+@_add(
+    "q57_shape_masks",
+    f"""SELECT w, array_to_string(list_transform(regexp_extract_all(w, '[0-9A-Za-z]+|[^0-9A-Za-z]'), lambda r: CASE WHEN regexp_matches(r, '^[0-9A-Za-z]') THEN '<V,' || {_mask_sql('r')} || '>' WHEN r = ' ' THEN '<-1>' ELSE r END), '') AS shape
+FROM (SELECT DISTINCT unnest({WORDS_SQL}) AS w FROM ({EVENTS}))""",
+)
+def _shape_masks(s: SparkSession, d: str) -> DataFrame:
+    w = CORPORA["events"](s, d).select(F.explode(X.words(F.col("line"))).alias("w")).distinct()
+    return w.select("w", X.shape_masks(F.col("w")).alias("shape"))
+
+
+@_add(
+    "q58_similarity",
+    f"""WITH t AS (SELECT line_no, {TOKENS_SQL} AS t FROM ({ORDERS})), p AS (SELECT a.line_no, a.t AS x, b.t AS y FROM t a JOIN t b ON b.line_no = a.line_no + 1)
+SELECT line_no, CASE WHEN len(x) <> len(y) OR len(list_filter(list_zip(x, y), lambda z: (regexp_matches(z[1], '^[ \t:=,]$') OR regexp_matches(z[2], '^[ \t:=,]$')) AND z[1] <> z[2])) > 0 THEN 0.0
+ELSE len(list_filter(list_zip(x, y), lambda z: z[1] = z[2])) / len(x) END::DOUBLE AS similarity FROM p""",
+)
+def _similarity(s: SparkSession, d: str) -> DataFrame:
+    t = CORPORA["orders"](s, d).select("line_no", X.tokens(F.col("line")).alias("t"))
+    nxt = t.select((F.col("line_no") - 1).alias("line_no"), F.col("t").alias("u"))
+    return t.join(nxt, "line_no").select("line_no", mining.likeness(F.col("t"), F.col("u")).cast("double").alias("similarity"))
+
+
+def _vals(s: SparkSession, d: str, corpus: str) -> DataFrame:
+    return mining.values(mining.match(*_mined(s, d, corpus)))
+
+
+@_add(
+    "q59_pieces",
+    f"""{_mined_sql('events')}, {META_SQL} SELECT eid, var_idx, line_no, CASE WHEN kind = 'S' AND NOT ({_FITS}) THEN 'O' ELSE kind END AS kind,
+CASE WHEN kind = 'S' AND {_FITS} THEN substr(value, length(prefix) + 1, length(value) - length(prefix) - length(suffix)) ELSE value END AS stored FROM v JOIN meta USING (eid, var_idx)""",
+)
+def _pieces_stored(s: SparkSession, d: str) -> DataFrame:
+    vals = _vals(s, d, "events")
+    return mining.extract_pieces(vals, mining.column_meta(vals))
+
+
+@_add("q60_pieces_decoded", f"{_mined_sql('events')} SELECT eid, var_idx, line_no, value FROM v")
+def _pieces_decoded(s: SparkSession, d: str) -> DataFrame:
+    vals = _vals(s, d, "events")
+    meta = mining.column_meta(vals)
+    return mining.decode_pieces(mining.extract_pieces(vals, meta), meta)
+
+
+for _name, _mode, _where in (("q61_values_left", "left", "starts_with(value, '7')"), ("q62_values_right", "right", "ends_with(value, '7')"), ("q63_values_full", "full", "value = '77'")):
+    _add(_name, f"{_mined_sql('orders')} SELECT line_no, value FROM v WHERE eid = 0 AND var_idx = 1 AND {_where}")(lambda s, d, m=_mode: catalog.column_values(_store(s, d, "orders"), 0, 1, "77" if m == "full" else "7", m))
+
+
+@_add("q64_values_in", f"{_mined_sql('orders')} SELECT line_no, value FROM v WHERE eid = 0 AND var_idx = 1 AND value IN ('7', '77', '777')")
+def _values_in(s: SparkSession, d: str) -> DataFrame:
+    return catalog.column_values_in(_store(s, d, "orders"), 0, 1, ["7", "77", "777"])
+
+
+@_add("q65_dictionary_search", f"{_mined_sql('orders')} SELECT eid, var_idx, line_no, value FROM v WHERE contains(value, '77')")
+def _dictionary_search(s: SparkSession, d: str) -> DataFrame:
+    vals = _vals(s, d, "orders")
+    words = mining.dictionary(vals)
+    return mining.dictionary_search(words, mining.entries(vals, words), "77")
+
+
+@_add("q66_token", f"SELECT block_id, line_no, line FROM ({ORDERS}) WHERE list_contains({WORDS_SQL}, '77')")
+def _token(s: SparkSession, d: str) -> DataFrame:
+    return scan(CORPORA["orders"](s, d), "77", "t")
+
+
+@_add("q67_common_substring", f"SELECT block_id, line_no, line FROM ({EVENTS}) WHERE " + " OR ".join(f"contains(line, '{'SIGNUP user=12'[i:i + 11]}')" for i in range(4)))
+def _common(s: SparkSession, d: str) -> DataFrame:
+    return CORPORA["events"](s, d).where(Common("SIGNUP user=12", 11).column(F.col("line")))
+
+
+@_add("q68_search_statistics", f"SELECT 'rows' AS name, count(*) AS n FROM ({ORDERS}) UNION ALL SELECT 'rows_matched', count(*) FROM ({ORDERS}) WHERE contains(line, 'prio=1') AND contains(line, 'cust=7')")
+def _statistics(s: SparkSession, d: str) -> DataFrame:
+    held = _store(s, d, "orders")
+    n = search(held, "prio=1 and cust=7").statistics(held)
+    return s.createDataFrame([(k, n[k]) for k in ("rows", "rows_matched")], "name string, n long")
+
+
+@_add("q69_split_rejoined", f"{_mined_sql('events')} SELECT eid, var_idx, line_no, value FROM v")
+def _split_rejoined(s: SparkSession, d: str) -> DataFrame:
+    vals = _vals(s, d, "events")
+    patterns = mining.split_patterns(vals)
+    return mining.joined_values(mining.split_values(vals, patterns), patterns)
+
+
+@_add("q70_token_search", f"SELECT block_id, line_no, line FROM ({ORDERS}) WHERE list_contains({WORDS_SQL}, '77')")
+def _token_search(s: SparkSession, d: str) -> DataFrame:
+    return search(_store(s, d, "orders"), "77", kind="t").rows(None)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Q["q10_or_before_and"](spark, sf_dir)
 

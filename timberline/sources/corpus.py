@@ -11,18 +11,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_LINES = 2500
+BLOCK_BYTES = 64 << 20
+#: Lines of one text that keep numbers of their own.
+TEXT_LINES = 10_000_000
+TURNS = 100_000
 
 
-def read_text(spark: SparkSession, paths: str | Sequence[str], min_bytes: int = 0) -> DataFrame:
+def read_text(spark: SparkSession, paths: str | Sequence[str], min_bytes: int = 0, skip_bad: bool = False) -> DataFrame:
     """Lines of text files; only ``\\n`` ends a line, an unended last line counts, ``\\r`` is kept.
 
-    ``line_no`` rises with the place in the input; files of at most ``min_bytes`` are left out.
+    ``line_no`` rises with the place in the input; files of at most ``min_bytes`` are left out, and with
+    ``skip_bad`` what cannot be read of a damaged one.  A block is a stretch of ``BLOCK_BYTES`` or less of a file,
+    as a task reads it.
     """
-    x = spark.read.option("lineSep", "\n").text(list(paths) if not isinstance(paths, str) else paths)
+    x = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", str(skip_bad).lower()).text(list(paths) if not isinstance(paths, str) else paths)
     meta = F.col("_metadata")
-    x = x.select(meta["file_path"].alias("file"), meta["file_size"].alias("bytes"), F.col("value").alias("line"))
+    x = x.select(meta["file_path"].alias("file"), meta["file_size"].alias("bytes"), F.floor(meta["file_block_start"] / BLOCK_BYTES).alias("stretch"), F.col("value").alias("line"))
     x = x.where(F.col("bytes") > min_bytes).withColumn("line_no", F.monotonically_increasing_id())
-    return x.select(F.xxhash64("file").alias("block_id"), "line_no", "line")
+    return x.select(F.xxhash64("file", "stretch").alias("block_id"), "line_no", "line")
 
 
 def numbered(folder: str, first: int, last: int) -> list[str]:
@@ -49,7 +55,7 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pieces(df: DataFrame, key: Column, text: str) -> DataFrame:
     x = df.select(key.alias("k"), F.posexplode(F.split(text, "\n")).alias("i", "line"))
-    return x.select(F.col("k").alias("block_id"), (F.col("k") * 100_000 + F.col("i")).alias("line_no"), "line")
+    return x.select(F.col("k").alias("block_id"), (F.col("k") * TEXT_LINES + F.col("i")).alias("line_no"), "line")
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +63,7 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(_table(spark, sf_dir, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), "text")
+    return _pieces(_table(spark, sf_dir, "conversations"), F.col("conv_id") * TURNS + F.col("turn"), "text")
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,5 +20,9 @@ def matching(stream: DataFrame, query: str) -> DataFrame:
 
 
 def into_store(stream: DataFrame, folder: str, state: str) -> StreamingQuery:
-    """Append each batch under the store's templates."""
-    return stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda batch, _: store.append(batch, folder)).start()
+    """Append each batch under the store's templates; equal lines keep numbers of their own (batch, then place in it)."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        store.append(batch.withColumn("line_no", F.lit(n << 46) + F.monotonically_increasing_id()), folder)
+
+    return stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start()
