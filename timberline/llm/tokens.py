@@ -248,6 +248,10 @@ def read_file(data: bytes) -> Iterator[tuple[object, np.ndarray]]:
         left = every[n:]
 
 
+#: The name under which workers keep their words, while this module's scans run.
+WORDS = "words"
+
+
 class WordIds(dict):
     """Ids of the texts between blanks, as little-endian bytes; equal to encoding whole texts.
 
@@ -311,7 +315,11 @@ class WordIds(dict):
 
 def _words(path: str) -> WordIds:
     """One memory for each worker process, kept from task to task."""
-    return memory(f"words of {path}", lambda: WordIds(path))
+    held = memory(WORDS, dict)
+    if path not in held:
+        held.clear()
+        held[path] = WordIds(path)
+    return held[path]
 
 
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
@@ -361,7 +369,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
         flush()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
 
-    ordered.mapInArrow(frugal(scan, f"words of {tokenizer}"), "name string").count()
+    ordered.mapInArrow(frugal(scan, WORDS), "name string").count()
 
 
 def read_ids(docs_schema_id: str, spark, folder: str) -> DataFrame:
@@ -393,8 +401,8 @@ def read_ids(docs_schema_id: str, spark, folder: str) -> DataFrame:
 
     # one row for each file, which holds millions of ids
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.mapInArrow(frugal(heads), "path string, ids long").select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("offset"))
-    rows = files.mapInArrow(frugal(scan), "path string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    offsets = files.mapInArrow(frugal(heads, WORDS), "path string, ids long").select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("offset"))
+    rows = files.mapInArrow(frugal(scan, WORDS), "path string, doc_id long, at long, n_tokens long, ids_crc32 long")
     joined = rows.join(offsets, "path")
     return joined.select(F.col("doc_id").cast(docs_schema_id).alias("doc_id"), (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
