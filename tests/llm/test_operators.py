@@ -6,6 +6,7 @@ import time
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from timberline.llm import chat, common, decontam, html, langid, mixing, ngram_join, quality, queries, spotsigs, suffix_dedup, tokens
@@ -50,6 +51,21 @@ def test_components(spark):
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100} and {got[i] for i in range(200, 260)} == {200}
 
 
+def test_likely_and_settled(spark, monkeypatch):
+    monkeypatch.setattr(common, "MARKS", 1 << 9)
+    rows = spark.range(2000).select(F.col("id").alias("k"), F.lit("x").alias("text"))
+    wanted = spark.range(0, 2000, 97).select(F.col("id").alias("w"))
+    got = {r["k"] for r in common.likely(rows, "k", wanted, "w").collect()}
+    assert set(range(0, 2000, 97)) <= got and len(got) < 400
+    nulls = spark.createDataFrame([(None,), (5,)], "k long")
+    assert common.likely(nulls, "k", nulls.where("k is null"), "k").count() == 1
+    held = common.settle(rows, "rows")
+    assert held.count() == 2000
+    common.discard(held)
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        held.count()
+
+
 def test_mixing_targets(spark):
     for sizes in ([100, 5, 0, 7], [1], [10, 10, 10], [1000, 1, 1, 1, 1]):
         weights = [1 + i % 3 for i in range(len(sizes))]
@@ -280,6 +296,26 @@ def test_languages(spark):
     assert found.count() == 16 and {r["lang_pred"] for r in found.where("doc_id in (0, 1, 2, 12)").collect()} == {"und"}
 
 
+def test_language_by_plain_compression(spark):
+    """Each piece pressed with each dictionary by itself; the smallest sum wins."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    model = langid.fit(docs.where("doc_id % 2 = 0"))
+    settings = zstandard.ZstdCompressionParameters.from_level(6, **langid._PARAMETERS)
+    raw = {k: zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for k, v in model}
+    fast = langid.Classifier(model)
+    for r in docs.where("doc_id % 20 = 1").collect():
+        text = " " + " ".join("".join(c if c.isalpha() else " " for c in r["text"].lower()).split()) + " "
+        if text != langid.letters(r["text"]).decode():
+            continue
+        b = text.encode()
+        n = max(1, round(len(b) / langid.PIECE))
+        step = -(-len(b) // n)
+        sums = {k: sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=settings).compress(b[i : i + step])) for i in range(0, len(b), step)) for k, d in raw.items()}
+        best = min(sums, key=lambda k: (sums[k], k))
+        got = fast.predict(r["text"])
+        assert got[0] == (best if text.strip() else "und") and (len(sums) < 2 or got[2] >= 0)
+
+
 def components(df):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in df.collect()}
 

@@ -8,9 +8,9 @@ the search may jump; a block that no pattern holds allows m - 1 words, so nearly
 are never looked at.  Where the shift is 0, the hash bucket of that suffix block lists the patterns
 that end so, and a direct comparison confirms each.
 
-The patterns are cut into parts of at most ``PART_BYTES`` by the driver, each broadcast and searched
-in its own pass, so no broadcast grows with the benchmark; a document's hits from several parts are
-merged by its row.
+The items are dealt by a hash into parts of about ``PART_BYTES``, each read by the driver by itself,
+broadcast and searched in its own pass, so no broadcast grows with the benchmark; a document's hits
+from several parts are merged by its row.
 
 Defined results: a null or empty text has no words, no hits and the digest of an empty list; items
 without words never match; equal items both count; a null item_id is written as an empty string in
@@ -94,16 +94,13 @@ class WuManber:
         return ranges, items
 
 
-def _parts(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
-    part, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    for r in rows.toLocalIterator():
-        part.append((r["item_id"], r["text"]))
-        size += len(r["text"] or "")
-        if size >= PART_BYTES:
-            yield part
-            part, size = [], 0
-    yield part
+def _parts(benchmark: DataFrame) -> Iterator[tuple[int, list[tuple[str, str | None]]]]:
+    """The number of parts and, one after the other, each part's items; the driver reads one at a time."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = max(1, -(-size // PART_BYTES))
+    for i in range(n):
+        yield n, [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -111,12 +108,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, row string, n_words long, ranges array<array<int>>, items array<string>"
     keyed = docs.select("doc_id", "text")
-    parts = list(_parts(benchmark))
     context = docs.sparkSession.sparkContext
 
-    def one(part: list) -> DataFrame:
+    def one(part: list, many: bool) -> DataFrame:
         held = context.broadcast(part)
-        many = len(parts) > 1
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wm = WuManber(held.value, width)
@@ -136,11 +131,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
 
         return keyed.mapInArrow(frugal(scan), schema)
 
-    if len(parts) == 1:
-        return one(parts[0]).drop("row")
-    every = one(parts[0])
-    for part in parts[1:]:
-        every = every.unionByName(one(part))
+    every, n = None, 1
+    for n, part in _parts(benchmark):
+        found = one(part, n > 1)
+        every = found if every is None else every.unionByName(found)
+    if n == 1:
+        return every.drop("row")
     merged = every.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.count("*").alias("n"), F.flatten(F.collect_list("ranges")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = F.aggregate(
         F.array_sort("all"),
@@ -151,7 +147,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
         ).otherwise(F.concat(acc, F.array(x))),
     )
     # rows that repeat (doc_id, text) come back as often as they were
-    copies = F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int")))
+    copies = F.explode(F.sequence(F.lit(1), (F.col("n") / n).cast("int")))
     return merged.withColumn("ranges", joined).withColumn("__k", copies).select("doc_id", "n_words", "ranges", "items")
 
 
