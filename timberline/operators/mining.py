@@ -46,11 +46,16 @@ def sample_ratio(lines: DataFrame, every: int = SAMPLE_EVERY) -> DataFrame:
 
 def mine(lines: DataFrame, min_rows: int = 1) -> DataFrame:
     """``skeleton, n_rows, slots array<string>``: the constant word of each position, null at a variable slot."""
-    x = lines.select(skeleton(F.col("line")).alias("skeleton"), F.posexplode(words(F.col("line"))).alias("pos", "w"))
-    at = x.groupBy("skeleton", "pos").agg(F.count("*").alias("n"), F.min("w").alias("lo"), F.max("w").alias("hi"))
-    slot = F.struct("pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("word"))
-    t = at.groupBy("skeleton").agg(F.max("n").alias("n_rows"), F.array_sort(F.collect_list(slot)).alias("s"))
-    return t.where(F.col("n_rows") >= min_rows).select("skeleton", "n_rows", F.transform("s", lambda s: s["word"]).alias("slots"))
+    # the skeleton below the explosion, once for each line; above it, it would be made once for each word
+    x = lines.select(skeleton(F.col("line")).alias("skeleton"), words(F.col("line")).alias("ws")).select("skeleton", F.posexplode("ws").alias("pos", "w"))
+    # words as hashes, which a hash aggregate can hold; a sort of all words by skeleton is what texts would cost
+    h = F.xxhash64("w")
+    at = x.groupBy("skeleton", "pos").agg(F.count("*").alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi"))
+    slot = F.struct("pos", (F.col("lo") == F.col("hi")).alias("constant"))
+    t = at.groupBy("skeleton").agg(F.max("n").alias("n_rows"), F.array_sort(F.collect_list(slot)).alias("s")).where(F.col("n_rows") >= min_rows)
+    one = lines.groupBy(skeleton(F.col("line")).alias("skeleton")).agg(F.first("line").alias("line"))
+    slots = F.zip_with("s", words(F.col("line")), lambda s, w: F.when(s["constant"], w))
+    return t.join(one, "skeleton").select("skeleton", "n_rows", slots.alias("slots"))
 
 
 def number(templates: DataFrame) -> DataFrame:
@@ -78,10 +83,12 @@ def template_text(templates: DataFrame) -> DataFrame:
 
 def match(lines: DataFrame, templates: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Lines with ``eid`` and ``vars``; a line that fits no template has eid -1 and no variables.  ``keep`` names template columns that come along."""
-    t = templates.select("eid", F.col("skeleton").alias("sk"), "slots", *keep)
+    free = F.filter(F.transform("slots", lambda c, i: F.when(c.isNull(), i)), lambda i: i.isNotNull())
+    fixed = F.filter(F.transform("slots", lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda z: z["c"].isNotNull())
+    t = templates.select("eid", F.col("skeleton").alias("sk"), free.alias("free"), fixed.alias("fixed"), *keep)
     x = lines.withColumn("sk", skeleton(F.col("line"))).withColumn("ws", words(F.col("line"))).join(t, "sk", "left")
-    fits = F.col("eid").isNotNull() & F.forall(F.zip_with("slots", "ws", lambda c, w: c.isNull() | (c == w)), lambda ok: ok)
-    slot = F.transform(F.filter(F.arrays_zip(F.col("slots").alias("c"), F.col("ws").alias("w")), lambda z: z["c"].isNull()), lambda z: z["w"])
+    fits = F.col("eid").isNotNull() & F.forall("fixed", lambda z: F.get("ws", z["i"]) == z["c"])
+    slot = F.transform("free", lambda i: F.get("ws", i))
     return x.select(*lines.columns, F.when(fits, F.col("eid")).otherwise(-1).alias("eid"), F.when(fits, slot).alias("vars"), *keep)
 
 
