@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from timberline.functions.text import longest_common_substring
 from timberline.operators import mining
 from timberline.plans import catalog
-from timberline.plans.search import Session, scan, search
+from timberline.plans.query import parse
+from timberline.plans.search import Session, scan, search, surviving
 from timberline.sources import store
 from timberline.sources.corpus import CORPORA
 from timberline.streaming import tail
@@ -26,8 +27,13 @@ def keys(df):
     return sorted((r["block_id"], r["line_no"], r["line"]) for r in df.select("block_id", "line_no", "line").collect())
 
 
-def test_pruned_search_is_plain_search(made):
+@pytest.mark.parametrize("small", [True, False])
+def test_pruned_search_is_plain_search(made, spark, monkeypatch, small):
     lines, held = made
+    if not small:  # what a store beyond the bounds is asked by
+        monkeypatch.setattr(store, "SMALL_ROWS", 0)
+        held = store.Store(spark, held.folder)
+    assert (held.small is not None) == small
     rng = random.Random(1)
     texts = [r["line"] for r in lines.orderBy("line_no").collect()]
     asked = ["user=8", "ERROR or CLICK and user=1 not value=1", "status:F", "prio=1*T", "not user", "é"]
@@ -45,6 +51,18 @@ def test_pruned_search_is_plain_search(made):
         assert len(got.rows(5).collect()) == min(5, len(want))
 
 
+def test_small_and_large_stores_prune_alike(made, spark, monkeypatch):
+    held = made[1]
+    asked = ["user=8", "ERROR or CLICK and user=1 not value=1", "status:F", "prio=1*T", "not user", "NOSUCHTOKEN#", "value=1 or order=7", "x" * 30]
+    near = [surviving(held, parse(text)) for text in asked]
+    assert held.small is not None
+    monkeypatch.setattr(store, "SMALL_BYTES", 0)
+    other = store.Store(spark, held.folder)
+    assert other.small is None
+    assert [surviving(other, parse(text)) for text in asked] == near
+    other.close()
+
+
 def test_pruning_drops_templates(made):
     held = made[1]
     assert search(held, "NOSUCHTOKEN#").eids == [-1] or len(search(held, "NOSUCHTOKEN#").eids) < held.templates.count()

@@ -13,7 +13,7 @@ from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from ..functions.text import lex_words, python_mask
@@ -38,14 +38,14 @@ def words_of(node) -> list[str]:
     return list(dict.fromkeys(w for n in node.needles() for w in lex_words(n))) if isinstance(node, Phrase) else []
 
 
-def possible(node, holds: Callable[[str], Column]) -> Column:
-    """Whether a template can hold a match, given whether it may hold a word."""
+def possible(node, holds: Callable, lit: Callable = F.lit):
+    """Whether a template can hold a match, given whether it may hold a word; a column, or with ``lit=bool`` a truth value."""
     if isinstance(node, And | Or):
-        out = F.lit(isinstance(node, And))
+        out = lit(isinstance(node, And))
         for c in node.children:
-            out = out & possible(c, holds) if isinstance(node, And) else out | possible(c, holds)
+            out = out & possible(c, holds, lit) if isinstance(node, And) else out | possible(c, holds, lit)
         return out
-    out = F.lit(True)
+    out = lit(True)
     for word in words_of(node):
         out = out & holds(word)
     return out
@@ -65,8 +65,35 @@ def may_hold(column: Column, word: str) -> Column:
     return fits & (column["prefix"].contains(word) | column["suffix"].contains(word) | (len(word) - head - tail <= free))
 
 
+def may_hold_one(column: Row, word: str) -> bool:
+    """``may_hold`` for the statistics of one column on the driver."""
+    mask = python_mask(word)
+    if column["char_mask"] & mask != mask or column["max_len"] < len(word):
+        return False
+    prefix, suffix = column["prefix"], column["suffix"]
+    if len(word) > MOST_ALIGNED or word in prefix or word in suffix:
+        return True
+    parts = range(1, len(word) + 1)
+    head = max((i for i in parts if prefix.endswith(word[:i])), default=0)
+    tail = max((i for i in parts if suffix.startswith(word[-i:])), default=0)
+    return len(word) - head - tail <= column["max_len"] - len(prefix) - len(suffix)
+
+
+def _surviving_small(held: dict[int, tuple], node) -> list[int]:
+    def holds_in(pieces: list[str], cols: list[Row], values: list[str]) -> Callable[[str], bool]:
+        return lambda w: any(w in p for p in pieces) or any(w in v for v in values) or any(c["kind"] != "D" and may_hold_one(c, w) for c in cols)
+
+    return [eid for eid, t in held.items() if possible(node, holds_in(*t), bool)]
+
+
 def surviving(store: Store, node) -> list[int] | None:
-    """Template numbers that may match, -1 (outliers) included; None if too many to list."""
+    """Template numbers that may match, -1 (outliers) included; None if too many to list.
+
+    The tables of a small store are asked on the driver, which saves the jobs; all others by Spark.
+    """
+    if store.small is not None:
+        found = _surviving_small(store.small, node)
+        return None if len(found) > MOST_LISTED else [-1, *sorted(found)]
     words = words_of(node)
     asked = words[:MOST_WORDS]
     listed = F.lit(0).cast("long")

@@ -15,6 +15,7 @@ BLOCK_BYTES = 64 << 20
 #: Lines of one text that keep numbers of their own.
 TEXT_LINES = 10_000_000
 TURNS = 100_000
+LINE_NUMBERS = 100
 
 
 def read_text(spark: SparkSession, paths: str | Sequence[str], min_bytes: int = 0, skip_bad: bool = False) -> DataFrame:
@@ -53,6 +54,13 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(_block(F.col("o_orderkey")).alias("block_id"), F.col("o_orderkey").alias("line_no"), line.alias("line"))
 
 
+def lineitem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = (("ship=", "l_shipdate"), (" order=", "l_orderkey"), (" line=", "l_linenumber"), (" part=", "l_partkey"), (" flag:", "l_returnflag"), (" status:", "l_linestatus"), (" qty=", "l_quantity"), (" price=", "l_extendedprice"))
+    line_no = F.col("l_orderkey") * LINE_NUMBERS + F.col("l_linenumber")
+    line = F.concat(*[x for word, name in said for x in (F.lit(word), F.col(name).cast("string"))])
+    return _table(spark, sf_dir, "lineitem").select(_block(line_no).alias("block_id"), line_no.alias("line_no"), line.alias("line"))
+
+
 def _pieces(df: DataFrame, key: Column, text: str) -> DataFrame:
     x = df.select(key.alias("k"), F.posexplode(F.split(text, "\n")).alias("i", "line"))
     return x.select(F.col("k").alias("block_id"), (F.col("k") * TEXT_LINES + F.col("i")).alias("line_no"), "line")
@@ -70,4 +78,4 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(_table(spark, sf_dir, "pages"), F.col("page_id"), "html")
 
 
-CORPORA = {"events": events_log, "orders": orders_log, "docs": doc_lines, "conversations": conv_lines, "pages": page_lines}
+CORPORA = {"events": events_log, "orders": orders_log, "lineitem": lineitem_log, "docs": doc_lines, "conversations": conv_lines, "pages": page_lines}

@@ -25,6 +25,8 @@ BUCKETS = 32
 SLOTS = 16
 #: Lines of at most so many templates are written out as expressions.
 MOST_WRITTEN = 64
+#: A store whose templates, statistics and dictionaries have at most so many rows each, and bytes of files in all, is asked on the driver.
+SMALL_ROWS, SMALL_BYTES = 50_000, 4 << 20
 #: Lines of a template that a task writes, about.
 TASK_LINES = 1 << 21
 
@@ -83,10 +85,30 @@ class Store:
         cols = self.bounds.groupBy("eid").agg(F.collect_set(shape).alias("cols"))
         return self.templates.select("eid", "pieces").join(cols, "eid", "left").persist()
 
+    @cached_property
+    def small(self) -> dict[int, tuple] | None:
+        """``index`` and dictionary of a small store on the driver, ``eid: (pieces, statistics, values)``; None if either bound is passed."""
+        if sum(map(self._bytes, ("templates", "columns", "dictionary"))) > SMALL_BYTES:
+            return None
+        shape = ("kind", "char_mask", "max_len", "prefix", "suffix")
+        sources = self.templates.select("eid", "pieces"), self.bounds.select("eid", *shape), self.dictionary.select("eid", "value")
+        templates, bounds, values = (x.limit(SMALL_ROWS + 1).collect() for x in sources)
+        if max(map(len, (templates, bounds, values))) > SMALL_ROWS:
+            return None
+        out: dict[int, tuple] = {r["eid"]: (r["pieces"], [], []) for r in templates}
+        for r in bounds:
+            if r["eid"] in out:
+                out[r["eid"]][1].append(r)
+        for r in values:
+            if r["eid"] in out:
+                out[r["eid"]][2].append(r["value"])
+        return out
+
     def close(self) -> None:
         if "index" in self.__dict__:
             self.index.unpersist()
-            del self.__dict__["index"]
+        for held in ("index", "small"):
+            self.__dict__.pop(held, None)
 
     def lines_of(self, eids: list[int]) -> DataFrame:
         """``block_id, line_no, line`` of some templates' lines; of few templates, each line is one expression of its constants and variables."""
@@ -94,11 +116,15 @@ class Store:
         if len(eids) > MOST_WRITTEN:
             return self.restored(stored).select("block_id", "line_no", "line")
         line = F.col("text")
-        for r in self.index.where(F.col("eid").isin(eids)).select("eid", "pieces").collect():
-            parts = [F.lit(r["pieces"][0])]
-            for i, p in enumerate(r["pieces"][1:]):
+        if self.small is not None:
+            templates = [(e, self.small[e][0]) for e in eids if e in self.small]
+        else:
+            templates = self.index.where(F.col("eid").isin(eids)).select("eid", "pieces").collect()
+        for eid, pieces in templates:
+            parts = [F.lit(pieces[0])]
+            for i, p in enumerate(pieces[1:]):
                 parts += [F.col(f"v{i}") if i < SLOTS else F.get("more", F.lit(i - SLOTS)), F.lit(p)]
-            line = F.when(F.col("eid") == r["eid"], F.concat(*parts)).otherwise(line)
+            line = F.when(F.col("eid") == eid, F.concat(*parts)).otherwise(line)
         return stored.select("block_id", "line_no", line.alias("line"))
 
     def restored(self, stored: DataFrame) -> DataFrame:
@@ -133,7 +159,10 @@ class Store:
         return self.rows.select("block_id", "line_no", "line")
 
     def stored_bytes(self) -> int:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return self._bytes("")
+
+    def _bytes(self, name: str) -> int:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(path).getLength()
 
     def raw_bytes(self) -> int:
