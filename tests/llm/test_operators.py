@@ -325,6 +325,27 @@ def test_ngram_components(spark):
         assert components(ngram_join.link_components(docs, **opts)) == plain.components(pairs(docs), **opts)
 
 
+def test_ngram_lists_are_kept_once(spark, monkeypatch):
+    rng, rows, kept, settle = random.Random(5), [], {}, ngram_join.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        kept.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "settle", counted)
+    for copies in (2, 3, 5, 4):
+        for length in (60, 150, 700):
+            words = [f"w{rng.random()}" for _ in range(length)]
+            for i in range(copies):
+                own = [*words[:-1], *(f"e{rng.random()}" for _ in range(1 + i * length // 25))]
+                rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert components(ngram_join.link_components(docs)) == plain.components(pairs(docs))
+    # each set of vertices once, however many keys its vertices share
+    assert kept["twos"] <= 12 * 10 and kept["lists"] <= 3 * len(rows)
+
+
 def test_ngram_components_near_the_threshold(spark):
     rng = random.Random(8)
     rows, n = [], 0

@@ -19,6 +19,9 @@ prefixes are mostly their own, and chance pairs don't meet.
 The boundary between the two is the size at which enumerating costs as much as scanning, computed
 from the lists' mean length over the corpus.  Sets just below the boundary enter the lists as well.
 
+Near copies share tens of keys.  Keys with the same vertices are one: those of two vertices name a pair,
+which is compared, those of more are one list.
+
 Scanning does not begin with all pairs of a list.  First each member is compared with the list's
 leader, the most central vertex (the one with most shared keys), then with the most central one outside that
 leader's component; a number of comparisons linear in the lists.  The links found give components.
@@ -173,12 +176,13 @@ def shared_prefixes(vertices: DataFrame, num: int, den: int) -> DataFrame:
     """
     every = vertices.select("v", "n", F.pmod(size_class(num, den), F.lit(64)).alias("c"), F.posexplode("prefix").alias("at", "s"))
     bit = "shiftleft(1L, c)"
-    held = every.groupBy("s").agg(F.count("*").alias("m"), F.bit_or(F.expr(bit)).alias("some"), F.bit_xor(F.expr(bit)).alias("odd")).where("m > 1")
+    # rows go through the shuffles as they are: hardly any meet in a task, and what is gathered of them is longer
+    held = every.select("s", "c").repartition("s").groupBy("s").agg(F.count("*").alias("m"), F.bit_or(F.expr(bit)).alias("some"), F.bit_xor(F.expr(bit)).alias("odd")).where("m > 1")
     # classes that occur an even number of times have two or more; if that explains all that are more than classes, the odd ones have one
     held = held.select("s", "some", F.expr("some & ~odd").alias("even"), F.expr("m - bit_count(some) > bit_count(some & ~odd)").alias("more"))
     near = "some & (shiftleft(1L, (c + 1) % 64) | shiftleft(1L, (c + 63) % 64))"
     x = every.join(held, "s").where(F.expr(f"more or even & {bit} <> 0 or {near} <> 0"))
-    x = x.groupBy("v").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "s"))).alias("q"))
+    x = x.select("v", "n", "at", "s").repartition("v").groupBy("v").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "s"))).alias("q"))
     return x.select("v", "n", F.col("q.at").alias("at"), F.col("q.s").alias("q"))
 
 
@@ -265,6 +269,27 @@ def _enough(a: str, b: str, num: int, den: int):
     return F.expr(f"least(r{a}, r{b}) >= least({beyond(a)}, {beyond(b)}) + ((n{a} + n{b}) * {num} + {num + den - 1}) div {num + den}")
 
 
+def group_keys(keys: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``keys(key, v, n, r)``, the pairs ``a, b, w`` that keys of two vertices name, and lists ``key, v, n, r, w`` of the longer ones.
+
+    Near copies share tens of keys, and those with the same vertices say the same; each such set of
+    vertices is kept once, under its smallest key.  Its keys stand in the same order for all its
+    vertices, so the first one is the one with the largest ``r`` of each.  ``w`` is the number of keys.
+    Sets are equal if their sizes, smallest and largest vertices and the xor of 64-bit hashes are.
+    """
+    of = keys.repartition("key").groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("na"), F.max("n").alias("nb"), F.min("r").alias("ra"), F.min("v").alias("a"), F.max("v").alias("b"), F.bit_xor(F.xxhash64("v")).alias("h"))
+    of = of.withColumn("rb", F.col("ra")).where((F.col("c") > 2) | ((F.col("c") == 2) & _alike("na", "nb", num, den) & _enough("a", "b", num, den)))
+    of = settle(of.select("key", "c", "a", "b", "h"), "shared")
+    twos = settle(of.where("c = 2 and a < b").groupBy("a", "b").agg(F.count("*").alias("w")), "twos")
+    more = of.where("c > 2")
+    first = more.groupBy("c", "a", "b", "h").agg(F.min("key").alias("first"))
+    more = settle(more.join(first, ["c", "a", "b", "h"]).select("key", "first"), "more")
+    lists = likely(keys, "key", more, "key").join(more, "key").groupBy(F.col("first").alias("key"), "v").agg(F.first("n").alias("n"), F.max("r").alias("r"), F.count("*").alias("w"))
+    lists = settle(lists, "lists")
+    discard(of, more)
+    return twos, lists
+
+
 def plausible(pairs: DataFrame, vertices: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``a, b`` that their ordered prefixes allow.
 
@@ -334,12 +359,11 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     ids = vertices.select("v", "doc_id")
     prefixes = settle(shared_prefixes(vertices, num, den), "prefixes")
     keys = keys_of(prefixes, choose_boundary(prefixes, num, den), num, den)
-    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("na"), F.max("n").alias("nb"), F.min("r").alias("ra")).withColumn("rb", F.col("ra"))
-    shared = shared.where((F.col("c") > 2) | ((F.col("c") == 2) & _alike("na", "nb", num, den) & _enough("a", "b", num, den))).select("key")
-    lists = settle(keys.join(shared, "key"), "lists")
+    twos, lists = group_keys(keys, num, den)
     discard(prefixes)
     # central vertices lead: an original has few shingles of its own, an edited copy has some
-    score = lists.groupBy("v").agg(F.count("*").alias("score"))
+    both = twos.select(F.col("a").alias("v"), "w").union(twos.select(F.col("b").alias("v"), "w"))
+    score = both.union(lists.select("v", "w")).groupBy("v").agg(F.sum("w").alias("score"))
     label, links, tried = None, None, None
     for _ in range(ROUNDS):
         placed = lists.join(score, "v")
@@ -356,9 +380,8 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
             split = others
         leaders = split.select("key", F.col("top.v").alias("a"), F.col("top.n").alias("na"), F.col("top.c").alias("ca"), F.col("top.r").alias("ra"))
         star = placed.toDF("key", "v", "nb", "rb", "score", "c").join(leaders, "key").where((F.col("c") != F.col("ca")) & _alike("na", "nb", num, den) & _enough("a", "b", num, den))
-        star = star.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
-        if tried is not None:
-            star = star.join(tried, ["a", "b"], "left_anti")
+        star = star.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b"))
+        star = star.union(twos.select("a", "b")).distinct() if tried is None else star.distinct().join(tried, ["a", "b"], "left_anti")
         met = settle(star, "met")
         star = settle(plausible(met, vertices, num, den), "star")
         discard(placed, met)
@@ -371,7 +394,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     placed = settle(placed, "placed")
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     open_ = settle(placed.join(split, "key"), "open")
-    discard(placed, lists)
+    discard(placed, lists, twos)
     a = open_.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), F.col("c").alias("ca"))
     b = open_.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("c").alias("cb"))
     rest = a.join(b, "key").where("ca < cb").where(_alike("na", "nb", num, den) & _enough("a", "b", num, den))
