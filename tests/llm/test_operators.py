@@ -346,6 +346,33 @@ def test_ngram_lists_are_kept_once(spark, monkeypatch):
     assert kept["twos"] <= 12 * 10 and kept["lists"] <= 3 * len(rows)
 
 
+def test_ngram_entries_without_a_partner_go(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GATHERED", 5)
+    # of 100 shingles each, two need r = 7; other sizes are not alike
+    keys = [(1, 10, 100, 12), (1, 11, 100, 12), (1, 12, 500, 60), (2, 10, 100, 9), (2, 11, 100, 9), (2, 13, 100, 3), (3, 10, 100, 5), (3, 11, 100, 12), (3, 14, 200, 12)]
+    keys += [(k, v, n, 12 - k) for k in (4, 5) for v, n in ((20, 100), (21, 101), (22, 102), (20 + 10 * k, 1000))]
+    keys += [(6, v, 100 + v * v, 2) for v in range(70, 76)]  # too long to be gathered: stays whole
+    twos, lists = ngram_join.group_keys(spark.createDataFrame(keys, "key long, v long, n long, r int"), 90, 100)
+    assert [tuple(r) for r in twos.collect()] == [(10, 11, 2)]
+    assert sorted(tuple(r)[1:] for r in lists.collect()) == [(20, 100, 8, 2), (21, 101, 8, 2), (22, 102, 8, 2), *((v, 100 + v * v, 2, 1) for v in range(70, 76))]
+
+
+def test_ngram_join_leaves_no_shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = held.getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+    before, given = shuffled(), spark.conf.get(*common.SWEPT, None)
+    ngram_join.link_components(small(spark, "documents"))
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get(*common.SWEPT, None) == given
+
+
 def test_ngram_components_near_the_threshold(spark):
     rng = random.Random(8)
     rows, n = [], 0

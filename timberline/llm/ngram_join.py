@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, frugal, likely, press, settle, unpress
+from .common import SWEPT, components, discard, frugal, likely, press, settings, settle, unpress
 
 WIDTH = 3
 NUM, DEN = 90, 100
@@ -57,6 +57,8 @@ COMMON = 1 << 18
 REPORT = 2
 #: Comparisons of every list with a leader before components are compared with each other.
 ROUNDS = 2
+#: Lists up to this length are gathered, to drop the entries without a partner there; longer ones stay whole.
+GATHERED = 64
 _CHUNK_WORDS = 1 << 20
 _CHUNK_KEYS = 1 << 18
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -257,36 +259,53 @@ def keys_of(prefixes: DataFrame, boundary: int, num: int, den: int) -> DataFrame
 
 
 def _alike(a: str, b: str, num: int, den: int):
-    return F.least(a, b) * den >= F.greatest(a, b) * num
+    return F.expr(alike(a, b, num, den))
+
+
+def alike(na: str, nb: str, num: int, den: int) -> str:
+    return f"least({na}, {nb}) * {den} >= greatest({na}, {nb}) * {num}"
 
 
 def _enough(a: str, b: str, num: int, den: int):
+    return F.expr(enough(f"n{a}", f"r{a}", f"n{b}", f"r{b}", num, den))
+
+
+def enough(na: str, ra: str, nb: str, rb: str, num: int, den: int) -> str:
     """Whether ``r`` of both sides lets them share what ``plausible`` asks of their prefixes."""
 
     def beyond(n: str) -> str:
-        return f"least(0, 2 - (n{n} * {num} + {den - 1}) div {den})"
+        return f"least(0, 2 - ({n} * {num} + {den - 1}) div {den})"
 
-    return F.expr(f"least(r{a}, r{b}) >= least({beyond(a)}, {beyond(b)}) + ((n{a} + n{b}) * {num} + {num + den - 1}) div {num + den}")
+    return f"least({ra}, {rb}) >= least({beyond(na)}, {beyond(nb)}) + (({na} + {nb}) * {num} + {num + den - 1}) div {num + den}"
 
 
 def group_keys(keys: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Of ``keys(key, v, n, r)``, the pairs ``a, b, w`` that keys of two vertices name, and lists ``key, v, n, r, w`` of the longer ones.
 
+    Most keys of three and more are chance: the more documents, the more often a shingle recurs in
+    others that are not alike.  An entry that no other of its key is alike and has enough for is in no
+    pair, so it goes, and only what is left is a list; keys of more than ``GATHERED`` stay whole.
+
     Near copies share tens of keys, and those with the same vertices say the same; each such set of
-    vertices is kept once, under its smallest key.  Its keys stand in the same order for all its
-    vertices, so the first one is the one with the largest ``r`` of each.  ``w`` is the number of keys.
-    Sets are equal if their sizes, smallest and largest vertices and the xor of 64-bit hashes are.
+    vertices is kept once.  Its keys stand in the same order for all its vertices, so the first one is
+    the one with the largest ``r`` of each.  ``w`` is the number of keys.  Sets go by a 64-bit hash; two
+    that met in one would be a longer list, in which the same pairs meet.
     """
     of = keys.repartition("key").groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("na"), F.max("n").alias("nb"), F.min("r").alias("ra"), F.min("v").alias("a"), F.max("v").alias("b"), F.bit_xor(F.xxhash64("v")).alias("h"))
     of = of.withColumn("rb", F.col("ra")).where((F.col("c") > 2) | ((F.col("c") == 2) & _alike("na", "nb", num, den) & _enough("a", "b", num, den)))
     of = settle(of.select("key", "c", "a", "b", "h"), "shared")
-    twos = settle(of.where("c = 2 and a < b").groupBy("a", "b").agg(F.count("*").alias("w")), "twos")
-    more = of.where("c > 2")
-    first = more.groupBy("c", "a", "b", "h").agg(F.min("key").alias("first"))
-    more = settle(more.join(first, ["c", "a", "b", "h"]).select("key", "first"), "more")
-    lists = likely(keys, "key", more, "key").join(more, "key").groupBy(F.col("first").alias("key"), "v").agg(F.first("n").alias("n"), F.max("r").alias("r"), F.count("*").alias("w"))
-    lists = settle(lists, "lists")
-    discard(of, more)
+    # an entry of a long key is a group of its own, so that no long list is gathered
+    more = of.where("c > 2").select("key", F.expr(f"if(c > {GATHERED}, xxhash64(c, a, b, h), null)").alias("long"))
+    rows = likely(keys, "key", more, "key").join(more, "key").withColumn("part", F.expr("if(long is null, null, v)"))
+    x = rows.groupBy("key", "part").agg(F.first("long").alias("long"), F.sort_array(F.collect_list(F.struct("v", "n", "r"))).alias("q"))
+    met = f"x.v <> y.v and {alike('x.n', 'y.n', num, den)} and {enough('x.n', 'x.r', 'y.n', 'y.r', num, den)}"
+    x = x.withColumn("q", F.expr(f"if(long is null, filter(q, x -> exists(q, y -> {met})), q)")).where("size(q) > 0")
+    x = settle(x.select(F.expr("coalesce(long, xxhash64(q.v))").alias("key"), "q"), "more")
+    named = of.where("c = 2 and a < b").select("a", "b").union(x.where("size(q) = 2").selectExpr("q[0].v", "q[1].v"))
+    twos = settle(named.groupBy("a", "b").agg(F.count("*").alias("w")), "twos")
+    lists = x.where("size(q) <> 2").select("key", F.explode("q").alias("q")).select("key", "q.*")
+    lists = settle(lists.groupBy("key", "v").agg(F.first("n").alias("n"), F.max("r").alias("r"), F.count("*").alias("w")), "lists")
+    discard(of, x)
     return twos, lists
 
 
@@ -353,6 +372,11 @@ def verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, num: i
 
 def link_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``."""
+    with settings(docs.sparkSession, SWEPT):
+        return _link_components(docs, width, num, den)
+
+
+def _link_components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     sets = settle(build_sets(docs, common_shingles(docs, width), width, num, den), "sets")
     some = sets.where("n > 0")
     vertices = settle(some.groupBy("v").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m")).select("v", "m.doc_id", "m.n", "m.prefix"), "vertices")
